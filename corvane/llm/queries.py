@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from corvane.llm.token_files import op3_token_files
 from corvane.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = {"op8_url_filter": op8_url_filter}
+QUERIES = {"op3_token_files": op3_token_files, "op8_url_filter": op8_url_filter}
 ORACLES = {"op8_url_filter": OP8_SQL}
 
 
