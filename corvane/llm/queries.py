@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from corvane.llm.packing import op4_packing
+from corvane.llm.quality import op10_quality
 from corvane.llm.token_files import op3_token_files
 from corvane.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = {"op3_token_files": op3_token_files, "op4_packing": op4_packing, "op8_url_filter": op8_url_filter}
+QUERIES = {"op3_token_files": op3_token_files, "op4_packing": op4_packing, "op8_url_filter": op8_url_filter, "op10_quality": op10_quality}
 ORACLES = {"op8_url_filter": OP8_SQL}
 
 
