@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from corvane.llm.packing import op4_packing
 from corvane.llm.quality import op10_quality
+from corvane.llm.suffix_dedup import op6_suffix_dedup
 from corvane.llm.token_files import op3_token_files
 from corvane.llm.toxicity import op2_toxicity
 from corvane.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_token_files": op3_token_files, "op4_packing": op4_packing, "op8_url_filter": op8_url_filter, "op10_quality": op10_quality}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_token_files": op3_token_files, "op4_packing": op4_packing, "op6_suffix_dedup": op6_suffix_dedup, "op8_url_filter": op8_url_filter, "op10_quality": op10_quality}
 ORACLES = {"op8_url_filter": OP8_SQL}
 
 
