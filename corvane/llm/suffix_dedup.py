@@ -30,7 +30,9 @@ from corvane.llm.common import n_partitions, stored
 
 LENGTH = 100
 #: Bytes handled at once by one worker; a longer document is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Bytes of text that a batch is cut to; repeats within such a slice are settled without a shuffle.
+SLICE = 8 << 20
 #: Different stretches of one anchor in one batch from which they are dealt out by stretch.
 HOT = 32
 _NULL = -(1 << 63)
@@ -127,18 +129,6 @@ def _merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def _by_doc(doc: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: int, unite: bool):
-    """(doc, kind, spans) rows; spans: int64 pairs."""
-    order = np.lexsort((begin, doc))
-    doc, begin, end = doc[order], begin[order], end[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
-    out = []
-    for i, j in zip(cuts, [*cuts[1:], len(doc)]):
-        b, e = _merge(begin[i:j], end[i:j]) if unite else (begin[i:j], end[i:j])
-        out.append((int(doc[i]), kind, np.stack([b, e], 1).astype("<i8").tobytes()))
-    return out
-
-
 def _firsts(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray):
     """(order, group number, is first) sorted by keys, then (doc, at). An equal (doc, at) is a repeated row: first too."""
     order = np.lexsort((at, doc, *keys[::-1]))
@@ -152,8 +142,8 @@ def _firsts(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray):
     return order, np.cumsum(~same), (d == d[head]) & (a == a[head])
 
 
-_ROW = np.dtype([("bucket", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("mark", "u1")])
-_SCHEMA = "part int, doc long, kind int, data binary"
+_ROW = np.dtype([("bucket", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("mark", "u1")])
+_SCHEMA = "part int, kind int, doc long, begin int, end int, data binary"
 _PARTS, _SPANS, _OPEN = 0, 1, 2
 
 
@@ -171,16 +161,53 @@ def _unblob(data) -> np.ndarray:
     return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    part, doc, kind, data = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "doc", "kind", "data"])
+def _intervals(kind: int, doc, begin, end) -> pa.RecordBatch:
+    """A row for each interval of a document."""
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(np.full(n, kind, np.int32)), pa.array(np.ascontiguousarray(doc), pa.int64()), pa.array(np.ascontiguousarray(begin).astype(np.int32)), pa.array(np.ascontiguousarray(end).astype(np.int32)), pa.nulls(n, pa.binary())], names=_NAMES)
 
 
-def _send(rows: np.ndarray, part: np.ndarray) -> list[tuple]:
+def _send(rows: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """A row with the packed rows of each part."""
     order = np.argsort(part, kind="stable")
     rows, part = rows[order], part[order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-    return [(int(part[i]), None, _PARTS, _blob(rows[i:j])) for i, j in zip(cuts, [*cuts[1:], len(part)])]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+    n = len(cuts)
+    data = [_blob(rows[i:j]) for i, j in zip(cuts, [*cuts[1:], len(part)])]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(np.full(n, _PARTS, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(data, pa.binary())], names=_NAMES)
+
+
+_NAMES = ["part", "kind", "doc", "begin", "end", "data"]
+
+
+def _runs(rows: np.ndarray, length: int) -> pa.RecordBatch:
+    """Repeated windows as intervals: consecutive starts of a document are one."""
+    rows = rows[np.lexsort((rows["at"], rows["doc"]))]
+    if not len(rows):
+        return _intervals(_SPANS, rows["doc"], rows["at"], rows["at"])
+    new = np.flatnonzero(np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["at"][1:] > rows["at"][:-1] + 1)]))
+    last = np.append(new[1:], len(rows)) - 1
+    return _intervals(_SPANS, rows["doc"][new], rows["at"][new], rows["at"][last] + length)
+
+
+def _pairs(column: pa.Array):
+    """(begins, ends) of each row of a list<struct<begin, end>> column; empty for null."""
+    offsets = column.offsets.to_numpy()
+    begin, end = (column.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+    for i in range(len(column)):
+        a, b = (offsets[i], offsets[i + 1]) if column[i].is_valid else (0, 0)
+        yield begin[a:b], end[a:b]
+
+
+def _slices(batch: pa.RecordBatch, column: str, limit: int):
+    """Slices of a batch with about limit bytes of a column, so that a worker's memory doesn't follow the batch size."""
+    sizes = np.cumsum(np.array([len(x or b"") for x in batch.column(column).cast(pa.binary()).to_pylist()], np.int64)) if batch.num_rows else np.zeros(0, np.int64)
+    start = 0
+    while start < batch.num_rows:
+        base = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, base + limit)))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +220,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), "doc_id", "text")
 
     def stretches(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in _slices(whole, "text", SLICE)):
             ids, texts = b.column("k").to_numpy(), [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
             got = []
             for start, chunk in _chunks(texts):
@@ -204,7 +231,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
             rows = np.concatenate(got) if got else np.zeros(0, _ROW)
             order, _, first = _firsts([rows["bucket"], rows["key"]], rows["doc"], rows["at"])
             again = rows[order[~first]]
-            out = [(None, *x) for x in _by_doc(again["doc"], again["lo"].astype(np.int64), again["hi"].astype(np.int64) + length, _SPANS, True)]
+            yield _intervals(_SPANS, again["doc"], again["lo"], again["hi"] + length)
             rows = rows[order[first]]  # by bucket
             begin = np.flatnonzero(np.concatenate([[True], rows["bucket"][1:] != rows["bucket"][:-1]])) if len(rows) else np.zeros(0, int)
             size = np.diff(np.append(begin, len(rows)))
@@ -213,8 +240,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
             marks = rows[begin[size >= HOT]].copy()
             marks["mark"] = 2
             part = np.where(hot, rows["key"], rows["bucket"]) % np.uint64(n)
-            out += _send(np.concatenate([rows, marks]), np.concatenate([part, marks["bucket"] % np.uint64(n)]).astype(np.int64))
-            yield _batch(out)
+            yield _send(np.concatenate([rows, marks]), np.concatenate([part, marks["bucket"] % np.uint64(n)]).astype(np.int64))
 
     def refine(table: pa.Table) -> pa.Table:
         rows = np.concatenate([_unblob(x.as_buffer()) for x in table.column("data")])
@@ -222,18 +248,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         rows = rows[rows["mark"] < 2]
         order, group, first = _firsts([rows["bucket"], rows["key"]], rows["doc"], rows["at"])
         again, rows, group = rows[order[~first]], rows[order[first]], group[first]
-        out = [(None, *x) for x in _by_doc(again["doc"], again["lo"].astype(np.int64), again["hi"].astype(np.int64) + length, _SPANS, True)]
         # buckets with different stretches stay open
         begin = np.flatnonzero(np.concatenate([[True], rows["bucket"][1:] != rows["bucket"][:-1]])) if len(rows) else np.zeros(0, int)
         end = np.append(begin[1:], len(rows))
         many = np.repeat(group[begin] != group[end - 1], end - begin) if len(rows) else np.zeros(0, bool)
         rows = rows[many | (rows["mark"] == 1) | np.isin(rows["bucket"], marked)]
-        out += [(None, *x) for x in _by_doc(rows["doc"], rows["lo"].astype(np.int64), rows["hi"].astype(np.int64) + 1, _OPEN, False)]
-        return pa.Table.from_batches([_batch(out)])
+        return pa.Table.from_batches([_intervals(_SPANS, again["doc"], again["lo"], again["hi"] + length), _intervals(_OPEN, rows["doc"], rows["lo"], rows["hi"] + 1)])
 
     sent = keyed.select("k", "text").mapInArrow(stretches, _SCHEMA)
     # what a batch has settled itself rides along to any part
-    first = stored(sent.withColumn("part", F.coalesce("part", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int"))).groupBy("part").applyInArrow(_through(refine), _SCHEMA).select("doc", "kind", "data"), "stretches")
+    first = stored(sent.withColumn("part", F.coalesce("part", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int"))).groupBy("part").applyInArrow(_through(refine), _SCHEMA).select("doc", "kind", "begin", "end"), "stretches")
     return keyed, first
 
 
@@ -261,46 +285,45 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
     n = n_partitions(spark)
     keyed, first = repeated_spans(docs, length)
     dealt = keyed.repartition(n, "k")
-    opened = first.where(f"kind = {_OPEN}").groupBy(F.col("doc").alias("k2")).agg(F.collect_list("data").alias("open"))
+    opened = first.where(f"kind = {_OPEN}").groupBy(F.col("doc").alias("k2")).agg(F.collect_list(F.struct("begin", "end")).alias("open"))
 
     def windows(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in _slices(whole, "text", SLICE)):
             got = []
-            for k, t, spans in zip(b.column("k").to_pylist(), b.column("text").cast(pa.binary()), b.column("open").to_pylist()):
+            for k, t, (begin, end) in zip(b.column("k").to_pylist(), b.column("text").cast(pa.binary()), _pairs(b.column("open"))):
                 t = t.as_py() or b""
-                pairs = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in spans])
-                at = np.unique(np.concatenate([np.arange(lo, hi) for lo, hi in pairs.tolist()]))
+                step = np.zeros(len(t) + 2, np.int32)
+                np.add.at(step, np.minimum(begin, len(t)), 1)
+                np.add.at(step, np.minimum(end, len(t)), -1)
+                at = np.flatnonzero(np.cumsum(step) > 0)
                 at = at[at + length <= len(t)]
                 rows = np.zeros(len(at), _ROW)
                 rows["key"], rows["doc"], rows["at"] = span_hash(prefix_hash(np.frombuffer(t, np.uint8)), at, at + length), k, at
                 got.append(rows)
             rows = np.concatenate(got) if got else np.zeros(0, _ROW)
             order, _, head = _firsts([rows["key"]], rows["doc"], rows["at"])
-            again = rows[order[~head]]
-            out = [(None, *x) for x in _by_doc(again["doc"], again["at"], again["at"] + length, _SPANS, True)]
+            yield _runs(rows[order[~head]], length)
             rows = rows[np.sort(order[head])]  # in (doc, at) order
-            yield _batch(out + _send(rows, (rows["key"] % np.uint64(n)).astype(np.int64)))
+            yield _send(rows, (rows["key"] % np.uint64(n)).astype(np.int64))
 
     def last(table: pa.Table) -> pa.Table:
         rows = np.concatenate([_unblob(x.as_buffer()) for x in table.column("data")])
         order, _, head = _firsts([rows["key"]], rows["doc"], rows["at"])
-        again = rows[order[~head]]
-        return pa.Table.from_batches([_batch([(None, *x) for x in _by_doc(again["doc"], again["at"], again["at"] + length, _SPANS, True)])])
+        return pa.Table.from_batches([_runs(rows[order[~head]], length)])
 
     second = dealt.join(opened, dealt["k"] == opened["k2"], "left").where("open is not null").select("k", "text", "open").mapInArrow(windows, _SCHEMA)
     second = second.withColumn("part", F.coalesce("part", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int"))).groupBy("part").applyInArrow(_through(last), _SCHEMA)
-    spans = first.where(f"kind = {_SPANS}").select("doc", "data").unionAll(second.select("doc", "data")).groupBy(F.col("doc").alias("k3")).agg(F.collect_list("data").alias("spans"))
+    spans = first.where(f"kind = {_SPANS}").select("doc", "begin", "end").unionAll(second.select("doc", "begin", "end")).groupBy(F.col("doc").alias("k3")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def cut(batches):
         for b in batches:
             rows = []
-            for d, t, spans in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()), b.column("spans").to_pylist()):
+            for d, t, (begin, end) in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()), _pairs(b.column("spans"))):
                 t = t.as_py() or b""
-                removed, begin = 0, []
-                kept = t
-                if spans:
-                    begin, end = _merge(*np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in spans]).T)
+                removed, kept = 0, t
+                if len(begin):
+                    begin, end = _merge(begin, end)
                     removed = int((end - begin).sum())
                     kept = b"".join(t[i:j] for i, j in zip([0, *end.tolist()], [*begin.tolist(), len(t)]))
                 rows.append((d, len(t), removed, len(begin), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
