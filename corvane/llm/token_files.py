@@ -33,6 +33,9 @@ ESCAPE = 15
 BLOCK = 1 << 14
 #: Ids of a segment, unless one document has more.
 SEGMENT_IDS = 1 << 20
+_SELECTOR = np.full(int(COUNTS[0]) + 1, ESCAPE)  # by count; 0: no width is enough
+_SELECTOR[COUNTS] = np.arange(len(COUNTS))
+_BITS = np.array([i.bit_length() for i in range(1 << 17)], np.uint8)
 _HEAD = struct.Struct("<4sIQQQQ")
 
 
@@ -42,37 +45,48 @@ def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    left = np.minimum(n, (np.arange(n) // block + 1) * block) - np.arange(n)  # ids to the block's end
-    selector, step = np.full(n, ESCAPE, np.int8), np.ones(n, np.int64)
-    for s in range(len(COUNTS) - 1, -1, -1):  # fewer and wider first; a selector with more ids overwrites
-        wide = np.flatnonzero(ids >> np.uint64(WIDTHS[s]))
-        if len(wide) == n:
-            break
-        ends = np.append(wide, n)
-        runs = ends[np.searchsorted(wide, np.arange(n))] - np.arange(n) if len(wide) else n - np.arange(n)
-        take = np.minimum(COUNTS[s], left)
-        fits = runs >= take
-        selector[fits], step[fits] = s, take[fits]
-    nxt, starts, i = (np.arange(n) + step).tolist(), [], 0
-    while i < n:
-        starts.append(i)
-        i = nxt[i]
+    most = int(COUNTS[0])
+    blocks = -(-n // block)
+    # each block on a row of its own, zeros behind it: they fit any width and are cut off again
+    room = np.zeros((blocks, block + most), np.uint64)
+    whole = n // block
+    room[:whole, :block] = ids[: whole * block].reshape(whole, block)
+    if n % block:
+        room[whole, : n % block] = ids[whole * block :]
+    flat = room.ravel()
+    width = _BITS[flat] if int(flat.max()) < len(_BITS) else np.where(flat >> np.uint64(60) != 0, 64, np.ceil(np.log2(np.maximum(flat, 1).astype(np.float64) + 1)) + 1).astype(np.uint8)
+    step, have, widest = np.zeros(len(flat), np.uint8), 1, width
+    for count in COUNTS[::-1].tolist():  # widest: the most bits of the next `have` ids
+        more = count - have
+        if more > have:
+            raise AssertionError("counts at most double")
+        if more:
+            widest = np.maximum(widest, np.append(widest[more:], np.zeros(more, np.uint8)))
+            have = count
+        step[widest <= 60 // count] = count
+    counts, starts = step.tobytes(), []
+    for k in range(blocks):
+        i, end = k * (block + most), k * (block + most) + min(block, n - k * block)
+        while i < end:
+            starts.append(i)
+            i += counts[i] or 1
     starts = np.array(starts)
-    chosen = selector[starts]
+    took = step[starts]
+    chosen = _SELECTOR[took]
     size = np.where(chosen == ESCAPE, 2, 1)
     at = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
     words[at] = chosen.astype(np.uint64) << np.uint64(60)
-    took = step[starts]
     for s in np.unique(chosen):
         mine = np.flatnonzero(chosen == s)
         if s == ESCAPE:
-            words[at[mine] + 1] = ids[starts[mine]]
+            words[at[mine] + 1] = flat[starts[mine]]
             continue
+        value = np.zeros(len(mine), np.uint64)
         for j in range(COUNTS[s]):
-            here = mine[took[mine] > j]
-            words[at[here]] |= ids[starts[here] + j] << np.uint64(j * WIDTHS[s])
-    return words, at[np.searchsorted(starts, np.arange(0, n, block))].astype(np.uint64)
+            value |= flat[starts[mine] + j] << np.uint64(j * WIDTHS[s])
+        words[at[mine]] |= value
+    return words, at[np.searchsorted(starts, np.arange(blocks) * (block + most))].astype(np.uint64)
 
 
 def unpack_words(words: np.ndarray, first: np.ndarray, n_ids: int, block: int = BLOCK) -> np.ndarray:

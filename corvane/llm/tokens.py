@@ -16,8 +16,7 @@ import numpy as np
 #: A space between two white-space characters, or between one and the end: the text is encoded whole.
 _WHOLE = re.compile(r"\s (?:\s|\Z)")
 #: Words remembered by one Python worker at most (about 200 bytes each), and the longest one.
-MEMO_WORDS, MEMO_CHARS = 800_000, 64
-
+MEMO_WORDS, MEMO_CHARS = 1_500_000, 64
 
 def default_path() -> str:
     import public_tokenizers
