@@ -50,14 +50,18 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHIN
 
 
 def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """docs (with column w) with h: null, then for each size the shingles at every word."""
+    """docs (with column w) with h: null, then for each size the shingles at every word.
+
+    It is exploded by the outer forms only: for the others the optimizer infers a filter
+    on the array's size, and pushes it, with all that makes the array, down to the scan.
+    """
     return docs.withColumn("h", F.concat(F.array(F.lit(None).cast("long")), *[_shingles(F.col("w"), s) for s in sizes]))
 
 
 def rarest(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     """windows with `key` and `offset`: the window's shingle with the fewest occurrences in docs, and its place in the window."""
     each = windows.select(F.explode("shingles").alias("key")).distinct()
-    seen = _positions(docs.select("w"), sizes).select(F.explode("h").alias("key")).join(F.broadcast(each), "key").groupBy("key").agg(F.count("*").alias("n"))  # each: bounded by block_windows
+    seen = _positions(docs.select("w"), sizes).select(F.explode_outer("h").alias("key")).join(F.broadcast(each), "key").groupBy("key").agg(F.count("*").alias("n"))  # each: bounded by block_windows
     one = windows.withColumn("id", F.xxhash64("item", "words")).select("*", F.posexplode("shingles").alias("offset", "key")).join(seen, "key", "left")
     best = one.groupBy("item", "words", "length", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key"), F.col("offset"))).alias("b"))
     return best.select("item", F.col("words").alias("window_words"), "length", "size", "b.key", "b.offset")
@@ -74,7 +78,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     for k in range(blocks):
         block = wins.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k) if blocks > 1 else wins
         filed = F.broadcast(rarest(docs, block, sizes))
-        rows = _positions(docs, sizes).select("doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode("h").alias("p", "h"))
+        rows = _positions(docs, sizes).select("doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode_outer("h").alias("p", "h"))
         # size s is the i-th of sizes: its positions follow those of the sizes before it
         base = F.coalesce(*[F.when(filed["size"] == s, F.col("n_words") * i) for i, s in enumerate(sizes)])
         start = F.col("p") - 1 - base - filed["offset"]
@@ -115,9 +119,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') as w from documents),
-b as (select cast(item_id as varchar) as item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') as w from benchmark),
-bw as (select distinct item, len(g) as n, array_to_string(g, ' ') as g from (select item, unnest(list_transform(range(1, greatest(len(w) - 13 + 1, 1) + 1), i -> list_slice(w, i, i + 12))) as g from b where len(w) > 0)),
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select cast(item_id as varchar) as item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark),
+bw as (select distinct item, len(g) as n, array_to_string(g, ' ') as g from (select item, unnest(list_transform(range(1, greatest(len(w) - 13 + 1, 1) + 1), lambda i: list_slice(w, i, i + 12))) as g from b where len(w) > 0)),
 sizes as (select distinct n from bw),
 dw as (select doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
 m as (select dw.doc_id, dw.i, dw.n, bw.item from dw join bw on dw.g = bw.g and dw.n = bw.n),
