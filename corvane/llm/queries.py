@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from corvane.llm.decontaminate import OP1_SQL, op1_decontaminate
 from corvane.llm.fingerprint import op7_fingerprint
 from corvane.llm.html_extract import op5_html_extract
@@ -18,9 +19,7 @@ ORACLES = {"op9_near_dedup": OP9_SQL, "op1_decontaminate": OP1_SQL, "op8_url_fil
 
 
 def queries() -> dict:
-    run = None
-
-    return QUERIES | ({"pipeline": run} if run else {})
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

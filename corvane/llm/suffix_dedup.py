@@ -211,13 +211,10 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents: k, doc_id, text; spans: k, spans) where spans has the repeated bytes of each document that has any.
-
-    k is doc_id, null as the smallest. Rows with equal doc_id are one document.
-    """
+    """(docs with k, intervals): k is doc_id, null as the smallest; intervals (doc, kind, begin, end) are repeats or open windows."""
     spark = docs.sparkSession
     n = n_partitions(spark)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), "doc_id", "text")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), "*")
 
     def stretches(batches):
         for b in (x for whole in batches for x in _slices(whole, "text", SLICE)):
@@ -273,16 +270,9 @@ def _through(refine):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and with_text the kept text.
-
-    docs: doc_id, text (others are ignored). Texts are whole UTF-8 bytes, null as empty;
-    texts under `length` bytes lose nothing; a null doc_id is the smallest; rows with an
-    equal doc_id are taken as one document, so repeated rows get equal results. The kept
-    text leaves out the rest of a character that a removed span cuts.
-    """
-    spark = docs.sparkSession
-    n = n_partitions(spark)
+def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+    """docs with `spans`: the repeated intervals of each row, null without any."""
+    n = n_partitions(docs.sparkSession)
     keyed, first = repeated_spans(docs, length)
     dealt = keyed.repartition(n, "k")
     opened = first.where(f"kind = {_OPEN}").groupBy(F.col("doc").alias("k2")).agg(F.collect_list(F.struct("begin", "end")).alias("open"))
@@ -314,24 +304,56 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
     second = dealt.join(opened, dealt["k"] == opened["k2"], "left").where("open is not null").select("k", "text", "open").mapInArrow(windows, _SCHEMA)
     second = second.withColumn("part", F.coalesce("part", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int"))).groupBy("part").applyInArrow(_through(last), _SCHEMA)
     spans = first.where(f"kind = {_SPANS}").select("doc", "begin", "end").unionAll(second.select("doc", "begin", "end")).groupBy(F.col("doc").alias("k3")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
+    return dealt.join(spans, dealt["k"] == spans["k3"], "left").drop("k", "k3")
+
+
+def _kept(text: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
+    """(text without the intervals, bytes removed, maximal runs removed)."""
+    if not len(begin):
+        return text, 0, 0
+    begin, end = _merge(begin, end)
+    return b"".join(text[i:j] for i, j in zip([0, *end.tolist()], [*begin.tolist(), len(text)])), int((end - begin).sum()), len(begin)
+
+
+def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
+
+    docs: doc_id, text (others are ignored). Texts are whole UTF-8 bytes, null as empty;
+    texts under `length` bytes lose nothing; a null doc_id is the smallest; rows with an
+    equal doc_id are taken as one document, so repeated rows get equal results.
+    """
 
     def cut(batches):
         for b in batches:
             rows = []
             for d, t, (begin, end) in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()), _pairs(b.column("spans"))):
                 t = t.as_py() or b""
-                removed, kept = 0, t
-                if len(begin):
-                    begin, end = _merge(begin, end)
-                    removed = int((end - begin).sum())
-                    kept = b"".join(t[i:j] for i, j in zip([0, *end.tolist()], [*begin.tolist(), len(t)]))
-                rows.append((d, len(t), removed, len(begin), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.string())] + ([pa.array(cols[5], pa.string())] if with_text else [])
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
-
-    return dealt.join(spans, dealt["k"] == spans["k3"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+                kept, removed, runs = _kept(t, begin, end)
+                rows.append((d, len(t), removed, runs, hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return _with_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def dedup_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs, all columns, with the repeated bytes cut out of text; the rest of a character that a cut splits goes too.
+
+    Rows and nulls are those of docs: a null text stays null, a text may become empty.
+    """
+    fields = docs.schema.fields
+    names = [f.name for f in fields]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for t, (begin, end) in zip(b.column("text").cast(pa.binary()), _pairs(b.column("spans"))):
+                t = t.as_py()
+                out.append(t if t is None else _kept(t, begin, end)[0].decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
+
+    return _with_spans(docs, length).select(*names, "spans").mapInArrow(cut, schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
