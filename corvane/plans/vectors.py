@@ -61,7 +61,7 @@ def dequantize(spark, d):
     return vec.dequantize(coded, [code]).select("id", F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
 
 
-@query("quantization_error", f"with {NEAR}, x as (select e.id, e.v as r, b.v as q from e join near using (id) join b on b.code = near.code and b.d = e.d), s as (select id, sum(r * r) as rr, sum(q * r) as qr, sum(q * q) as qq, sum(abs(r - q)) as l1, sum((r - q) * (r - q)) as l2 from x group by 1) select id, round(l1 / 640000.0::double, 5) as l1, round(l2 / 64.0::double / 1e8::double, 9) as mse, round(case when qq * rr = qr * qr then 99 else 10 * log10((qr::double * qr::double / rr) / (qq - qr::double * qr::double / rr)) end, 4) as si_sdr from s")
+@query("quantization_error", f"with {NEAR}, x as (select e.id, e.v as r, b.v as q from e join near using (id) join b on b.code = near.code and b.d = e.d), s as (select id, sum(r * r) as rr, sum(q * r) as qr, sum(q * q) as qq, sum(abs(r - q)) as l1, sum((r - q) * (r - q)) as l2 from x group by 1) select id, cast(l1 as bigint) as l1, round(l2 / 64.0::double / 1e8::double, 9) as mse, round(case when qq * rr = qr * qr then 99 else 10 * log10((qr::double * qr::double / rr) / (qq - qr::double * qr::double / rr)) end, 4) as si_sdr from s")
 def quantization_error(spark, d):
     rows = whole(spark, d)
     hit = vec.nearest(rows, book(rows, 0, 16)).select("id", F.arrays_zip("vec", "residual").alias("z"))
@@ -69,7 +69,7 @@ def quantization_error(spark, d):
     s = hit.select("id", total(lambda r, q: r * r).alias("rr"), total(lambda r, q: q * r).alias("qr"), total(lambda r, q: q * q).alias("qq"), total(lambda r, q: F.abs(r - q)).alias("l1"), total(lambda r, q: (r - q) * (r - q)).alias("l2"))
     target = F.col("qr").cast("double") * F.col("qr").cast("double") / F.col("rr")
     sdr = F.when(F.col("qq") * F.col("rr") == F.col("qr") * F.col("qr"), 99.0).otherwise(10 * F.log10(target / (F.col("qq") - target)))
-    return s.select("id", F.round(F.col("l1") / 640000.0, 5).alias("l1"), F.round(F.col("l2") / 64.0 / 1e8, 9).alias("mse"), F.round(sdr, 4).alias("si_sdr"))
+    return s.select("id", "l1", F.round(F.col("l2") / 64.0 / 1e8, 9).alias("mse"), F.round(sdr, 4).alias("si_sdr"))
 
 
 @query("kmeans", f"with {NEAR}, m as (select near.code, e.d, trunc(sum(e.v) / count(*)) as m, count(*) as size from near join e using (id) group by 1, 2), c as (select b.code, b.d, cast(coalesce(m.m, b.v) as bigint) as v, coalesce(m.size, 0) as size from b left join m using (code, d)) select code, max(size) as size, cast(sum(v * (d + 1)) as bigint) as checksum from c group by 1")
