@@ -10,10 +10,13 @@ Members of a key are not paired with each other:
 
 1. each representative is compared with one leader (the least of its keys' least
    members), which links most of a group;
-2. keys whose members are still in several components give the pairs across components
-   that can be links: the sizes of both sets, less the shingles that nobody else in a
-   large group has, bound their overlap. A heavily edited copy in a large group has many
-   shingles of its own, and so drops out without being compared.
+2. in keys whose members are still in several components, each is compared with the
+   reference of its key, the least id of the component that most of them are in;
+3. keys that are mixed even then give the pairs across components that can be links: two
+   members share at most the reference's shingles that both have (a bit set of each) and
+   as many others as the one with fewer has, those of its own (in a large key: that no
+   other member of any has) not counted. Heavily edited copies in a large group, each
+   edited elsewhere, drop out by that without being compared.
 
 Every pair that shares a key then is in one component, or has been compared, or cannot
 be a link. Pairs are compared on the exact word shingles of their whole texts.
@@ -33,8 +36,8 @@ from corvane.llm.common import let, lower_ascii, stored
 WORDS, SHARE = 3, 85
 CHUNKS, WIDTH, ERRORS, BITS = 8, 6, 1, 16
 COMPONENTS = CHUNKS * WIDTH
-#: Members of a key from which the shingles that only one member has are counted.
-LARGE = 64
+#: Members of a mixed key from which the shingles that only one document has are counted.
+LARGE = 16
 #: Rows of (id) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _NULL = -(1 << 63)
@@ -116,24 +119,28 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(k, shingle_hashes(F.col("text")).alias("h")).mapInArrow(run, "k long, d0 long, d1 long, n long, keys array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) of pairs whose texts' exact shingle sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) compared on their exact shingle sets: linked, rest (shingles of a that b lacks) and shared (a bit for each shingle of b, in sorted order: whether a has it)."""
 
     def run(batches):
-        last, held = None, set()
+        last, held, order = None, set(), {}
         for x in batches:
-            keep = []
+            linked, rest, shared = [], [], []
             for a, b in zip(x.column("ta"), x.column("tb").to_pylist()):
                 if b != last:
                     last, held = b, shingle_set(b)
+                    order = {s: i for i, s in enumerate(sorted(held))}
                 s = shingle_set(a.as_py())
-                both = len(s & held)
-                keep.append(100 * both >= SHARE * (len(s) + len(held) - both) and both > 0)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+                both = s & held
+                bits = np.zeros(-(-len(held) // 64) * 64, bool)
+                bits[[order[g] for g in both]] = True
+                linked.append(100 * len(both) >= SHARE * (len(s) + len(held) - len(both)) and bool(both))
+                rest.append(len(s) - len(both))
+                shared.append(np.packbits(bits).view(np.int64))
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(linked, pa.bool_()), pa.array(rest, pa.int64()), pa.array(shared, pa.list_(pa.int64()))], names=["a", "b", "linked", "rest", "shared"])
 
     joined = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, rest long, shared array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,6 +170,12 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """key, main, total of the keys in several components: the component with most members of the key, and its members."""
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    return sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("size").alias("total")).where("comps > 1").select("key", "main", "total")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; others are ignored).
 
@@ -176,22 +189,28 @@ def near_components(docs: DataFrame) -> DataFrame:
     shared = entries.groupBy("key").agg(F.min("k").alias("leader"), F.max("k").alias("last")).where("leader < last").drop("last")
     index = stored(entries.join(shared, "key"), "index")
     texts = stored(_picked(docs, index.select("k").distinct()).dropDuplicates(["k"]), "texts")
-    first = _verified(index.where("k <> leader").groupBy(F.col("k").alias("a")).agg(F.min("leader").alias("b")), texts)
-    first = stored(first, "links")
+    told = stored(_compared(index.where("k <> leader").groupBy(F.col("k").alias("a")).agg(F.min("leader").alias("b")), texts), "compared")
+    first = told.where("linked").select("a", "b")
     one = components(first)
-    placed = index.join(one, "k", "left").select("key", "k", "n", F.coalesce("comp", "k").alias("comp"))
-    by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    mixed = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("size").alias("total")).where("comps > 1").select("key", "main", "total")
-    open_ = stored(placed.join(mixed, "key"), "open")
-    large = open_.where(f"total > {LARGE}").select("k").distinct()
+    mixed = _mixed(index.join(one, "k", "left").withColumn("comp", F.coalesce("comp", "k")))
+    mixed = stored(mixed.select("key", F.col("main").alias("ref")), "mixed")
+    to_ref = index.join(mixed, "key").where("k <> ref").select(F.col("k").alias("a"), F.col("ref").alias("b")).distinct().join(told, ["a", "b"], "left_anti")
+    told = told.unionAll(stored(_compared(to_ref, texts), "compared"))
+    links = told.where("linked").select("a", "b")
+    placed = index.join(mixed, "key").join(components(links), "k", "left").select("key", "ref", "k", "n", F.coalesce("comp", "k").alias("comp"))
+    known = told.select(F.col("a").alias("k"), F.col("b").alias("ref"), "rest", "shared")
+    open_ = stored(placed.join(_mixed(placed), "key").where("k <> ref").join(known, ["k", "ref"]), "open")
+    large = open_.where(f"total > {LARGE}").select("k").unionAll(open_.where(f"total > {LARGE}").select("ref")).distinct()
     tokens = texts.join(large, "k", "left_semi").select("k", F.explode_outer(F.array_distinct(shingle_hashes(F.col("text")))).alias("h"))
     alone = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c = 1").groupBy("k").agg(F.count("*").alias("own"))
-    bound = open_.join(alone, "k", "left").withColumn("most", F.col("n") - F.when(F.col("total") > LARGE, F.coalesce("own", F.lit(0))).otherwise(0)).where(f"100 * most >= {SHARE} * n").select("key", "k", "n", "most", "comp", "main")
-    left = bound.where("comp <> main").select("key", F.col("k").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
-    right = bound.select("key", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"), "main")
-    across = left.join(right, "key").where(f"ca <> cb and (cb = main or a < b) and {100 + SHARE} * least(ma, mb) >= {SHARE} * (na + nb)")
-    second = _verified(across.select("a", "b").distinct(), texts)
-    two = components(first.unionAll(second))
+    open_ = open_.join(alone, "k", "left").withColumn("rest", F.col("rest") - F.when(F.col("total") > LARGE, F.coalesce("own", F.lit(0))).otherwise(0))
+    side = lambda x: [F.col("k").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "comp", "rest", "shared")]]
+    left, right = open_.where("comp <> main").select("key", *side("a")), open_.select("key", "main", *side("b"))
+    most = F.aggregate(F.zip_with("a_shared", "b_shared", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x) + F.least("a_rest", "b_rest")
+    new = F.expr(f"a_comp <> b_comp and (b_comp = main or a < b) and {100 + SHARE} * least(a_n, b_n) >= {SHARE} * (a_n + b_n)")
+    across = left.join(right, (left["key"] == right["key"]) & new & ((100 + SHARE) * most >= SHARE * (F.col("a_n") + F.col("b_n"))))
+    second = _compared(across.select("a", "b").distinct(), texts).where("linked").select("a", "b")
+    two = components(links.unionAll(second))
     out = sig.select("k", "d0", "d1", "n").join(classes, ["d0", "d1"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("k")))
     out = out.join(two.select(F.col("k").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     null = lambda c: F.when(F.col(c) != _NULL, F.col(c))
