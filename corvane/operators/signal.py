@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("signal_id").orderBy("n")
-ALL = Window.partitionBy("signal_id")
+
+def by_n() -> WindowSpec:
+    return Window.partitionBy("signal_id").orderBy("n")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("signal_id")
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -31,7 +36,7 @@ def unpack(packed: DataFrame) -> DataFrame:
 
 
 def length(signal: DataFrame) -> DataFrame:
-    return signal.withColumn("len", F.count("*").over(ALL))
+    return signal.withColumn("len", F.count("*").over(whole()))
 
 
 def trim(signal: DataFrame, before: int, after: int) -> DataFrame:
@@ -90,7 +95,7 @@ def segments(signal: DataFrame, size: int, stride: int) -> DataFrame:
 
 def preemphasis(signal: DataFrame, coefficient: float) -> DataFrame:
     """x[n-1] - c x[n], the correlation form."""
-    return signal.select("signal_id", "n", (F.lag("x", 1, 0).over(BY) - coefficient * F.col("x")).alias("x"))
+    return signal.select("signal_id", "n", (F.lag("x", 1, 0).over(by_n()) - coefficient * F.col("x")).alias("x"))
 
 
 def roll(signal: DataFrame, by: int) -> DataFrame:
@@ -120,7 +125,7 @@ def to_mono(rows: DataFrame) -> DataFrame:
 
 def fir(signal: DataFrame, taps: list[float], delay: int = 0) -> DataFrame:
     """y[n] = sum taps[j] x[n + delay - j], zero outside: lags of one window, no join."""
-    terms = [F.lit(t) * F.lag("x", j - delay, 0).over(BY) for j, t in enumerate(taps) if t]
+    terms = [F.lit(t) * F.lag("x", j - delay, 0).over(by_n()) for j, t in enumerate(taps) if t]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
@@ -146,7 +151,7 @@ def feedback_delay(signal: DataFrame, samples: int, feedback: float, dry: float,
     """dry x[n] + wet sum_k feedback^(k-1) x[n - k samples], k up to repeats."""
     out = F.lit(dry) * F.col("x")
     for k in range(1, repeats + 1):
-        out = out + F.lit(wet * feedback ** (k - 1)) * F.lag("x", k * samples, 0).over(BY)
+        out = out + F.lit(wet * feedback ** (k - 1)) * F.lag("x", k * samples, 0).over(by_n())
     return signal.select("signal_id", "n", out.alias("x"))
 
 
@@ -179,7 +184,7 @@ def resample(signal: DataFrame, source: int, target: int, align: bool = False) -
 
 
 def layer_norm(signal: DataFrame, eps: float = 1e-5) -> DataFrame:
-    mean, var = F.avg("x").over(ALL), F.var_pop("x").over(ALL)
+    mean, var = F.avg("x").over(whole()), F.var_pop("x").over(whole())
     return signal.select("signal_id", "n", ((F.col("x") - mean) / F.sqrt(var + eps)).alias("x"))
 
 

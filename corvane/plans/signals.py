@@ -206,7 +206,7 @@ def pcm_round_trip(spark, d):
 
 @query("peak_rescale", f"with {SIG} select signal_id, n, round(x * least(0.99 / max(abs(x)) over (partition by signal_id), 1.0), 5) as x from sig")
 def peak_rescale(spark, d):
-    gain = F.least(0.99 / F.max(F.abs("x")).over(sig.ALL), F.lit(1.0))
+    gain = F.least(0.99 / F.max(F.abs("x")).over(sig.whole()), F.lit(1.0))
     return events(spark, d).select("signal_id", "n", F.round(F.col("x") * gain, 5).alias("x"))
 
 
@@ -218,7 +218,7 @@ def wave_sine(spark, d):
 
 @query("interpolate_asof", f"with {SIG}, g as (select signal_id, n * 10 as xp, x as fp, lead(n * 10) over w as xn, lead(x) over w as fn from sig window w as (partition by signal_id order by n)) select signal_id, xp + k as at, round(fp + coalesce(fn - fp, 0) * (k / 10.0::double), 4) as x from g, (select unnest([0, 3, 7]) as k) where xn is not null or k = 0")
 def interpolate_asof(spark, d):
-    rows = events(spark, d).withColumn("next", F.lead("x").over(sig.BY))
+    rows = events(spark, d).withColumn("next", F.lead("x").over(sig.by_n()))
     at = F.explode(F.when(F.col("next").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(3), F.lit(7)))).alias("k")
     return rows.select("signal_id", "n", "x", "next", at).select("signal_id", (F.col("n") * 10 + F.col("k")).alias("at"), F.round(F.col("x") + F.coalesce(F.col("next") - F.col("x"), F.lit(0)) * (F.col("k") / 10.0), 4).alias("x"))
 
