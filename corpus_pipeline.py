@@ -17,6 +17,8 @@ from corvane.llm.packing import pack
 from corvane.llm.quality import THRESHOLD, fit_quality, fold, score_quality
 from corvane.llm.suffix_dedup import dedup_text
 
+#: Words that a packing worker remembers: the workers live on through the other stages, which need the memory.
+MEMO_WORDS = 250_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -43,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the rest into sequences of 2048 ids; a row for each piece, with its ids."""
-    return pack(docs, with_ids=True)
+    return pack(docs, with_ids=True, memo=MEMO_WORDS)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontamination", decontamination), ("packing", packing)]

@@ -58,18 +58,18 @@ class OpenWindows:
         return [self.windows[k] for _, k in self.rooms]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int | None = 1, open_windows: int = OPEN_WINDOWS, merge_partitions: int = MERGE_PARTITIONS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int | None = 1, open_windows: int = OPEN_WINDOWS, merge_partitions: int = MERGE_PARTITIONS, with_ids: bool = False, memo: int = tokens.MEMO_WORDS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids with with_ids.
 
     docs: doc_id, text (others are ignored). A null or empty text has only the end id
     (none at all, and no row, without an end id). Null doc_ids and repeated rows are
-    packed as they come. sequence_id is unique, not dense; offsets are gapless from 0.
+    packed as they come. memo: words that a worker remembers. sequence_id is unique, not dense; offsets are gapless from 0.
     """
     tokenizer = tokenizer or tokens.default_path()
     schema = _COLUMNS + (", ids array<int>" if with_ids else "")
 
     def online(batches):
-        enc, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = tokens.encoder(tokenizer, memo), TaskContext.get().partitionId()
         tail = np.array([] if end_id is None else [end_id], np.int32)
         opened, emitted, rows = OpenWindows(open_windows, size), 0, []
 

@@ -81,11 +81,12 @@ class Encoder:
         return k
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process; workers are reused from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo: int = MEMO_WORDS) -> Encoder:
+    """The encoder of this worker process; workers are reused from task to task, and only the last encoder is kept."""
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, memo] = Encoder(path, memo)
+    return _ENCODERS[path, memo]
