@@ -220,12 +220,12 @@ def near_components(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs without the near-duplicates of a document with a smaller doc_id; repeated rows leave one."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
-    result = stored(near_components(docs).select(key.alias("gone"), "kept"), "near")
-    gone = result.where("not kept").select("gone")
-    rest = docs.withColumn("_k", key).join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("_k") == F.col("gone"), "left_anti")
-    if result.where("kept").groupBy("gone").count().where("count > 1").take(1):
-        rest = rest.dropDuplicates(["_k"])
-    return rest.drop("_k")
+    result = stored(near_components(docs).select(key.alias("__near_gone"), "kept"), "near")
+    gone = result.where("not kept").select("__near_gone")
+    rest = docs.withColumn("__near_key", key).join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("__near_key") == F.col("__near_gone"), "left_anti")
+    if result.where("kept").groupBy("__near_gone").count().where("count > 1").take(1):
+        rest = rest.dropDuplicates(["__near_key"])
+    return rest.drop("__near_key")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,10 +211,10 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(docs with k, intervals): k is doc_id, null as the smallest; intervals (doc, kind, begin, end) are repeats or open windows."""
+    """(docs with __k, intervals): __k is doc_id, null as the smallest; intervals (doc, kind, begin, end) are repeats or open windows."""
     spark = docs.sparkSession
     n = n_partitions(spark)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), "*")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("__k"), "*")
 
     def stretches(batches):
         for b in (x for whole in batches for x in _slices(whole, "text", SLICE)):
@@ -252,7 +252,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         rows = rows[many | (rows["mark"] == 1) | np.isin(rows["bucket"], marked)]
         return pa.Table.from_batches([_intervals(_SPANS, again["doc"], again["lo"], again["hi"] + length), _intervals(_OPEN, rows["doc"], rows["lo"], rows["hi"] + 1)])
 
-    sent = keyed.select("k", "text").mapInArrow(stretches, _SCHEMA)
+    sent = keyed.select(F.col("__k").alias("k"), "text").mapInArrow(stretches, _SCHEMA)
     # what a batch has settled itself rides along to any part
     first = stored(sent.withColumn("part", F.coalesce("part", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int"))).groupBy("part").applyInArrow(_through(refine), _SCHEMA).select("doc", "kind", "begin", "end"), "stretches")
     return keyed, first
@@ -271,11 +271,11 @@ def _through(refine):
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """docs with `spans`: the repeated intervals of each row, null without any."""
+    """docs with `__spans`: the repeated intervals of each row, null without any."""
     n = n_partitions(docs.sparkSession)
     keyed, first = repeated_spans(docs, length)
-    dealt = keyed.repartition(n, "k")
-    opened = first.where(f"kind = {_OPEN}").groupBy(F.col("doc").alias("k2")).agg(F.collect_list(F.struct("begin", "end")).alias("open"))
+    dealt = keyed.repartition(n, "__k")
+    opened = first.where(f"kind = {_OPEN}").groupBy(F.col("doc").alias("__k2")).agg(F.collect_list(F.struct("begin", "end")).alias("__open"))
 
     def windows(batches):
         for b in (x for whole in batches for x in _slices(whole, "text", SLICE)):
@@ -301,10 +301,10 @@ def _with_spans(docs: DataFrame, length: int) -> DataFrame:
         order, _, head = _firsts([rows["key"]], rows["doc"], rows["at"])
         return pa.Table.from_batches([_runs(rows[order[~head]], length)])
 
-    second = dealt.join(opened, dealt["k"] == opened["k2"], "left").where("open is not null").select("k", "text", "open").mapInArrow(windows, _SCHEMA)
+    second = dealt.join(opened, dealt["__k"] == opened["__k2"], "left").where("__open is not null").select(F.col("__k").alias("k"), "text", F.col("__open").alias("open")).mapInArrow(windows, _SCHEMA)
     second = second.withColumn("part", F.coalesce("part", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int"))).groupBy("part").applyInArrow(_through(last), _SCHEMA)
-    spans = first.where(f"kind = {_SPANS}").select("doc", "begin", "end").unionAll(second.select("doc", "begin", "end")).groupBy(F.col("doc").alias("k3")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return dealt.join(spans, dealt["k"] == spans["k3"], "left").drop("k", "k3")
+    spans = first.where(f"kind = {_SPANS}").select("doc", "begin", "end").unionAll(second.select("doc", "begin", "end")).groupBy(F.col("doc").alias("__k3")).agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
+    return dealt.join(spans, dealt["__k"] == spans["__k3"], "left").drop("__k", "__k3")
 
 
 def _kept(text: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
@@ -326,14 +326,14 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(batches):
         for b in batches:
             rows = []
-            for d, t, (begin, end) in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()), _pairs(b.column("spans"))):
+            for d, t, (begin, end) in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()), _pairs(b.column("__spans"))):
                 t = t.as_py() or b""
                 kept, removed, runs = _kept(t, begin, end)
                 rows.append((d, len(t), removed, runs, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "__spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -348,12 +348,12 @@ def dedup_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(batches):
         for b in batches:
             out = []
-            for t, (begin, end) in zip(b.column("text").cast(pa.binary()), _pairs(b.column("spans"))):
+            for t, (begin, end) in zip(b.column("text").cast(pa.binary()), _pairs(b.column("__spans"))):
                 t = t.as_py()
                 out.append(t if t is None else _kept(t, begin, end)[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    return _with_spans(docs, length).select(*names, "spans").mapInArrow(cut, schema)
+    return _with_spans(docs, length).select(*names, "__spans").mapInArrow(cut, schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

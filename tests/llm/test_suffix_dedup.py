@@ -60,3 +60,11 @@ def test_repeated_rows_and_empty(spark):
     t = "".join(chr(97 + i % 26) for i in range(300))
     compare(spark, [(1, t), (1, t), (2, "q" + t)])
     assert sd.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_text_keeps_other_columns(spark):
+    t = "".join(chr(97 + i % 26) + str(i) for i in range(60))
+    rows = [(1, t, 5, "a"), (2, "x " + t, 6, None), (3, None, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int, spans string")
+    got = {r.doc_id: tuple(r) for r in sd.dedup_text(df).collect()}
+    assert got == {1: rows[0], 2: (2, "x ", 6, None), 3: rows[2]}
