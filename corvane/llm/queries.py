@@ -14,8 +14,19 @@ from corvane.llm.token_files import op3_token_files
 from corvane.llm.toxicity import op2_toxicity
 from corvane.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = {"op5_html_extract": op5_html_extract, "op7_fingerprint": op7_fingerprint, "op9_near_dedup": op9_near_dedup, "op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_token_files": op3_token_files, "op4_packing": op4_packing, "op6_suffix_dedup": op6_suffix_dedup, "op8_url_filter": op8_url_filter, "op10_quality": op10_quality}
-ORACLES = {"op9_near_dedup": OP9_SQL, "op1_decontaminate": OP1_SQL, "op8_url_filter": OP8_SQL}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
+    "op3_token_files": op3_token_files,
+    "op4_packing": op4_packing,
+    "op5_html_extract": op5_html_extract,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_fingerprint": op7_fingerprint,
+    "op8_url_filter": op8_url_filter,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_quality": op10_quality,
+}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op8_url_filter": OP8_SQL, "op9_near_dedup": OP9_SQL}
 
 
 def queries() -> dict:
