@@ -43,8 +43,6 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        if _WHOLE.search(text):
-            return np.array(self.whole(text), np.int32)
         head, *words = text.split(" ")
         first = np.array(self.whole(head) if head else [], np.int32)
         if not words:
@@ -57,6 +55,8 @@ class Encoder:
                 if k < 0:
                     k = at[i] = get(words[i], -1)
                 if k < 0:
+                    if (not words[i] or words[i][0].isspace()) and _WHOLE.search(text):
+                        return np.array(self.whole(text), np.int32)
                     ids = self.whole(" " + words[i])
                     at[i] = k = self._remember(words[i], ids)
                     if k < 0:
@@ -70,7 +70,7 @@ class Encoder:
 
     def _remember(self, word: str, ids: list[int]) -> int:
         k = len(self.index)
-        if k >= self.memo or len(word) > MEMO_CHARS:
+        if k >= self.memo or len(word) > MEMO_CHARS or not word or word[0].isspace():  # a word after white space is looked at each time
             return -1
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
