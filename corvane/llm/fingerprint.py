@@ -35,7 +35,9 @@ def chosen(text: Column, k: int = K, w: int = W) -> Column:
         # 31 hash bits above the position counted from the end: the least is the rightmost least hash
         packed = F.transform(g, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 31).bitwiseOR(F.lit(_POSITIONS).cast("long") - i))
         count = F.greatest(F.size(g) - w + 1, F.lit(1))
-        least = let(packed, lambda p: F.transform(F.sequence(F.lit(1), count), lambda i: F.array_min(F.slice(p, i, w))))
+        # one by one, as slice copies the whole array each time
+        at = lambda p, i: F.least(*[F.get(p, i + j) for j in range(w)]) if w > 1 else F.get(p, i)
+        least = let(packed, lambda p: F.transform(F.sequence(F.lit(0), count - 1), lambda i: at(p, i)))
         picked = F.transform(F.array_distinct(least), lambda m: (F.lit(_POSITIONS).cast("long") - m.bitwiseAND(_POSITIONS)).cast("int"))
         return F.when(F.size(g) > 0, F.transform(picked, lambda p: F.struct(F.get(g, p).alias("hash"), p.alias("pos")))).otherwise(F.slice(F.transform(g, lambda x: F.struct(x.alias("hash"), F.lit(0).alias("pos"))), 1, 0))
 
