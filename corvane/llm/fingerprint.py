@@ -1,8 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's words (runs without white space) give rolling hashes of k words each: the hash
-of k consecutive word hashes, combined by rotation and exclusive or as in a cyclic
-polynomial. Of every w consecutive hashes the least is chosen, the rightmost one in ties,
+A text's words (runs without white space) give a hash for each k consecutive ones: 64
+bits, rolled on from word to word. Of every w consecutive hashes the least is chosen, the rightmost one in ties,
 and its position kept: any run of w + k - 1 words that two texts share gives both the
 same chosen hash at the same place of the run. Texts with fewer hashes than w are one
 window, texts with fewer words than k are one k-gram.
@@ -19,17 +18,19 @@ K, W = 3, 4
 _POSITIONS = (1 << 31) - 1
 
 
-def _rotate(x: Column, by: int) -> Column:
-    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
-
-
 def chosen(text: Column, k: int = K, w: int = W) -> Column:
     """array<struct<hash long, pos int>>: the chosen hashes, in order of position; empty without words."""
-    hashes = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: F.when(x != "", F.xxhash64(x))), lambda x: x.isNotNull())
 
-    def rolling(h: Column) -> Column:
-        gram = F.transform(h, lambda x, i: _combine(x, [F.coalesce(F.get(h, i + j), F.lit(0).cast("long")) for j in range(1, k)]))
-        return F.slice(gram, 1, F.greatest(F.size(h) - k + 1, F.least(F.size(h), F.lit(1))))
+    def inner(x: Column) -> Column:
+        head = F.when(F.element_at(x, 1) == "", 1).otherwise(0)
+        tail = F.when((F.element_at(x, -1) == "") & (F.size(x) > 1), 1).otherwise(0)
+        return F.slice(x, head + 1, F.size(x) - head - tail)
+
+    def grams(x: Column) -> Column:
+        every = F.transform(x, lambda first, i: F.xxhash64(first, *[F.get(x, i + j) for j in range(1, k)]))
+        return F.slice(every, 1, F.greatest(F.size(x) - k + 1, F.least(F.size(x), F.lit(1))))
+
+    words = F.split(F.coalesce(text, F.lit("")), r"\s+")
 
     def windows(g: Column) -> Column:
         # 31 hash bits above the position counted from the end: the least is the rightmost least hash
@@ -41,14 +42,7 @@ def chosen(text: Column, k: int = K, w: int = W) -> Column:
         picked = F.transform(F.array_distinct(least), lambda m: (F.lit(_POSITIONS).cast("long") - m.bitwiseAND(_POSITIONS)).cast("int"))
         return F.when(F.size(g) > 0, F.transform(picked, lambda p: F.struct(F.get(g, p).alias("hash"), p.alias("pos")))).otherwise(F.slice(F.transform(g, lambda x: F.struct(x.alias("hash"), F.lit(0).alias("pos"))), 1, 0))
 
-    return let(let(hashes, rolling), windows)
-
-
-def _combine(first: Column, rest: list[Column]) -> Column:
-    out = _rotate(first, len(rest))
-    for j, x in enumerate(rest):
-        out = out.bitwiseXOR(_rotate(x, len(rest) - 1 - j))
-    return F.xxhash64(out)
+    return let(let(let(words, inner), grams), windows)
 
 
 def as_string(fp: Column) -> Column:
@@ -67,8 +61,8 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(ha, hb)), share)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next row by ascending doc_id (nulls first, then by text), of the first after the last.
+def with_next(docs: DataFrame, more: dict | None = None) -> DataFrame:
+    """doc_id, text, next_text, and for each name of more its column and next_name: the text of the next row by ascending doc_id (nulls first, then by text), of the first after the last.
 
     Rows are dealt to ranges of doc_id; the first rows of a range are also sent, as
     ghosts, to the range before it (those of the first range to the last one), so one
@@ -83,9 +77,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     starts = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
     places = F.filter(F.array(F.struct(F.col("own").alias("r"), F.lit(False).alias("ghost")), F.struct(F.when(starts, F.col("own") - 1).alias("r"), F.lit(True).alias("ghost")), F.struct(F.when(first, F.lit(len(bounds))).alias("r"), F.lit(True).alias("ghost"))), lambda x: x["r"].isNotNull() & (x["r"] >= 0))
     dealt = rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.r", "p.ghost")
-    after_all = F.col("ghost") & (F.col("r") == len(bounds))  # the first document, after the last
-    w = Window.partitionBy("r").orderBy(after_all, F.col("doc_id").asc_nulls_first(), "ghost", "text")
-    return dealt.withColumn("next_text", F.lead("text").over(w)).where("not ghost").select("doc_id", "text", "next_text")
+    dealt = dealt.withColumn("late", F.col("ghost") & (F.col("r") == len(bounds)))  # the first document, after the last
+    w = Window.partitionBy("r").orderBy("late", F.col("doc_id").asc_nulls_first(), "ghost", "text")
+    out = dealt.withColumn("next_text", F.lead("text").over(w))
+    if more:  # after the shuffle, so that they aren't part of it
+        out = out.withColumns(more).withColumns({f"next_{c}": F.lead(c).over(w) for c in more})
+    return out.where("not ghost").select("doc_id", "text", "next_text", *[x for c in more or {} for x in (c, f"next_{c}")])
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
@@ -96,9 +93,9 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     with equal doc_id follow each other in the order of their texts; a single row is its own next.
     """
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    rows = with_next(docs).withColumn("n_chars", F.char_length("text"))
+    rows = with_next(docs, {"a": chosen(F.col("text"), k, w)}).withColumn("n_chars", F.char_length("text"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = rows.select("doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), chosen(F.col("text"), k, w).alias("a"), chosen(edited, k, w).alias("b"), chosen(F.col("next_text"), k, w).alias("c"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), "a", chosen(edited, k, w).alias("b"), F.col("next_a").alias("c"))
     return rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
 
 
