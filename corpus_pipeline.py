@@ -19,6 +19,8 @@ from corvane.llm.suffix_dedup import dedup_text
 
 #: Words that a packing worker remembers: the workers live on through the other stages, which need the memory.
 MEMO_WORDS = 250_000
+#: Near-duplicates share 80 % of their 5-word shingles; with 9 chunks of 5 min-hashes such a pair shares no key with a probability of about 6e-6.
+NEAR = {"words": 5, "share": 80, "chunks": 9, "width": 5}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -30,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one document of each group of near-duplicates, that with the smallest doc_id."""
-    return near_dedup(docs).select(*COLUMNS)
+    return near_dedup(docs, **NEAR).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

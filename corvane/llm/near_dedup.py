@@ -44,7 +44,11 @@ _NULL = -(1 << 63)
 _SPACE = r"[\x20\x09-\x0D]+"
 _RNG = np.random.default_rng(20240611)
 _FACTORS = _RNG.integers(1, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_KEYS = [(c, tuple(c * WIDTH + i for i in range(WIDTH) if i not in out)) for c in range(CHUNKS) for out in combinations(range(WIDTH), ERRORS)]
+
+
+def _keys(chunks: int, width: int) -> list[tuple[int, ...]]:
+    """The components of each index key."""
+    return [tuple(c * width + i for i in range(width) if i not in out) for c in range(chunks) for out in combinations(range(width), ERRORS)]
 
 
 def _words(text: Column) -> Column:
@@ -86,13 +90,14 @@ def _mix(v: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(31))
 
 
-def index_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """(len(sets), len(_KEYS)) index keys of non-empty sets of uint64 hashes."""
+def index_keys(sets: list[np.ndarray], chunks: int = CHUNKS, width: int = WIDTH) -> np.ndarray:
+    """(len(sets), len(_keys(chunks, width))) index keys of non-empty sets of uint64 hashes; at most COMPONENTS components."""
+    every = _keys(chunks, width)
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
-    parts = np.stack([_mix(np.minimum.reduceat(flat * f, starts)) & np.uint64((1 << BITS) - 1) for f in _FACTORS], 1)
-    out = np.empty((len(sets), len(_KEYS)), np.uint64)
-    for j, (_, components) in enumerate(_KEYS):
+    parts = np.stack([_mix(np.minimum.reduceat(flat * f, starts)) & np.uint64((1 << BITS) - 1) for f in _FACTORS[: chunks * width]], 1)
+    out = np.empty((len(sets), len(every)), np.uint64)
+    for j, components in enumerate(every):
         key = np.full(len(sets), j + 1, np.uint64)
         for c in components:
             key = _mix(key * np.uint64(1 << BITS | 1) + parts[:, c])
@@ -100,8 +105,9 @@ def index_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS, chunks: int = CHUNKS, width: int = WIDTH) -> DataFrame:
     """k, d0, d1 (digest of the shingle set), n (its size), keys, for each row."""
+    n_keys = len(_keys(chunks, width))
 
     def run(batches):
         for b in batches:
@@ -111,15 +117,15 @@ def signatures(docs: DataFrame) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             sums = np.array([(int(_mix(s).sum()), int(_mix(s ^ np.uint64(0x5DEECE66D)).sum())) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             full = [s for s in sets if len(s)]
-            keys = index_keys(full).view(np.int64) if full else np.zeros((0, len(_KEYS)), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * len(_KEYS))]), pa.int32()), pa.array(keys.ravel()))
+            keys = index_keys(full, chunks, width).view(np.int64) if full else np.zeros((0, n_keys), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * n_keys)]), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(n), lists], names=["k", "d0", "d1", "n", "keys"])
 
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k")
-    return docs.select(k, shingle_hashes(F.col("text")).alias("h")).mapInArrow(run, "k long, d0 long, d1 long, n long, keys array<long>")
+    return docs.select(k, shingle_hashes(F.col("text"), words).alias("h")).mapInArrow(run, "k long, d0 long, d1 long, n long, keys array<long>")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> DataFrame:
     """(a, b) compared on their exact shingle sets: linked, rest (shingles of a that b lacks) and shared (a bit for each shingle of b, in sorted order: whether a has it)."""
 
     def run(batches):
@@ -128,13 +134,13 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             linked, rest, shared = [], [], []
             for a, b in zip(x.column("ta"), x.column("tb").to_pylist()):
                 if b != last:
-                    last, held = b, shingle_set(b)
+                    last, held = b, shingle_set(b, words)
                     order = {s: i for i, s in enumerate(sorted(held))}
-                s = shingle_set(a.as_py())
+                s = shingle_set(a.as_py(), words)
                 both = s & held
                 bits = np.zeros(-(-len(held) // 64) * 64, bool)
                 bits[[order[g] for g in both]] = True
-                linked.append(100 * len(both) >= SHARE * (len(s) + len(held) - len(both)) and bool(both))
+                linked.append(100 * len(both) >= share * (len(s) + len(held) - len(both)) and bool(both))
                 rest.append(len(s) - len(both))
                 shared.append(np.packbits(bits).view(np.int64))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(linked, pa.bool_()), pa.array(rest, pa.int64()), pa.array(shared, pa.list_(pa.int64()))], names=["a", "b", "linked", "rest", "shared"])
@@ -176,40 +182,44 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("size").alias("total")).where("comps > 1").select("key", "main", "total")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, chunks: int = CHUNKS, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; others are ignored).
 
+    Texts are linked that share at least `share` percent of their shingles of `words` words.
+    A pair of similarity s shares no key with a probability of (1 - s^w - w s^(w-1) (1-s))^chunks,
+    w being the width, so smaller shares need more or narrower chunks.
+
     Texts without words (null, empty, white space) are linked with nothing. A null doc_id
     is the smallest. Rows with an equal doc_id are one document, repeated rows get equal results.
     """
-    sig = stored(signatures(docs), "signatures")
+    sig = stored(signatures(docs, words, chunks, width), "signatures")
     classes = stored(sig.where("n > 0").groupBy("d0", "d1").agg(F.min("k").alias("rep")), "classes")
     reps = sig.join(classes, (sig["k"] == classes["rep"]) & (sig["d0"] == classes["d0"]) & (sig["d1"] == classes["d1"]), "left_semi")
     entries = reps.select("k", "n", F.explode_outer("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("k").alias("leader"), F.max("k").alias("last")).where("leader < last").drop("last")
     index = stored(entries.join(shared, "key"), "index")
     texts = stored(_picked(docs, index.select("k").distinct()).dropDuplicates(["k"]), "texts")
-    told = stored(_compared(index.where("k <> leader").groupBy(F.col("k").alias("a")).agg(F.min("leader").alias("b")), texts), "compared")
+    told = stored(_compared(index.where("k <> leader").groupBy(F.col("k").alias("a")).agg(F.min("leader").alias("b")), texts, words, share), "compared")
     first = told.where("linked").select("a", "b")
     one = components(first)
     mixed = _mixed(index.join(one, "k", "left").withColumn("comp", F.coalesce("comp", "k")))
     mixed = stored(mixed.select("key", F.col("main").alias("ref")), "mixed")
     to_ref = index.join(mixed, "key").where("k <> ref").select(F.col("k").alias("a"), F.col("ref").alias("b")).distinct().join(told, ["a", "b"], "left_anti")
-    told = told.unionAll(stored(_compared(to_ref, texts), "compared"))
+    told = told.unionAll(stored(_compared(to_ref, texts, words, share), "compared"))
     links = told.where("linked").select("a", "b")
     placed = index.join(mixed, "key").join(components(links), "k", "left").select("key", "ref", "k", "n", F.coalesce("comp", "k").alias("comp"))
     known = told.select(F.col("a").alias("k"), F.col("b").alias("ref"), "rest", "shared")
     open_ = stored(placed.join(_mixed(placed), "key").where("k <> ref").join(known, ["k", "ref"]), "open")
     large = open_.where(f"total > {LARGE}").select("k").unionAll(open_.where(f"total > {LARGE}").select("ref")).distinct()
-    tokens = texts.join(large, "k", "left_semi").select("k", F.explode_outer(F.array_distinct(shingle_hashes(F.col("text")))).alias("h"))
+    tokens = texts.join(large, "k", "left_semi").select("k", F.explode_outer(F.array_distinct(shingle_hashes(F.col("text"), words))).alias("h"))
     alone = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c = 1").groupBy("k").agg(F.count("*").alias("own"))
     open_ = open_.join(alone, "k", "left").withColumn("rest", F.col("rest") - F.when(F.col("total") > LARGE, F.coalesce("own", F.lit(0))).otherwise(0))
     side = lambda x: [F.col("k").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "comp", "rest", "shared")]]
     left, right = open_.where("comp <> main").select("key", *side("a")), open_.select("key", "main", *side("b"))
     most = F.aggregate(F.zip_with("a_shared", "b_shared", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x) + F.least("a_rest", "b_rest")
-    new = F.expr(f"a_comp <> b_comp and (b_comp = main or a < b) and {100 + SHARE} * least(a_n, b_n) >= {SHARE} * (a_n + b_n)")
-    across = left.join(right, (left["key"] == right["key"]) & new & ((100 + SHARE) * most >= SHARE * (F.col("a_n") + F.col("b_n"))))
-    second = _compared(across.select("a", "b").distinct(), texts).where("linked").select("a", "b")
+    new = F.expr(f"a_comp <> b_comp and (b_comp = main or a < b) and {100 + share} * least(a_n, b_n) >= {share} * (a_n + b_n)")
+    across = left.join(right, (left["key"] == right["key"]) & new & ((100 + share) * most >= share * (F.col("a_n") + F.col("b_n"))))
+    second = _compared(across.select("a", "b").distinct(), texts, words, share).where("linked").select("a", "b")
     two = components(links.unionAll(second))
     out = sig.select("k", "d0", "d1", "n").join(classes, ["d0", "d1"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("k")))
     out = out.join(two.select(F.col("k").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -217,10 +227,10 @@ def near_components(docs: DataFrame) -> DataFrame:
     return out.select(null("k").alias("doc_id"), F.col("n").alias("n_shingles"), null("comp").alias("component_id"), (F.col("k") == F.col("comp")).alias("kept"))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs without the near-duplicates of a document with a smaller doc_id; repeated rows leave one."""
+def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE, chunks: int = CHUNKS, width: int = WIDTH) -> DataFrame:
+    """The rows of docs without the near-duplicates of a document with a smaller doc_id; repeated rows leave one. The parameters are those of near_components."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
-    result = stored(near_components(docs).select(key.alias("__near_gone"), "kept"), "near")
+    result = stored(near_components(docs, words, share, chunks, width).select(key.alias("__near_gone"), "kept"), "near")
     gone = result.where("not kept").select("__near_gone")
     rest = docs.withColumn("__near_key", key).join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("__near_key") == F.col("__near_gone"), "left_anti")
     if result.where("kept").groupBy("__near_gone").count().where("count > 1").take(1):
