@@ -32,6 +32,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """(docs with a long column name, table): a number for each different (doc_id, text), ascending by doc_id, nulls first.
+
+    Only rows with equal doc_id and text have equal numbers. Where no doc_id is null or
+    has several texts, the number is the doc_id and table is None; else table has
+    (name, doc_id) of each number.
+    """
+    # 128 bits of hash tell texts apart
+    h = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    pairs = docs.select(F.col("doc_id").cast("long").alias("__id"), h[0].alias("__h0"), h[1].alias("__h1"))
+    differ = (F.min("__h0") < F.max("__h0")) | (F.min("__h1") < F.max("__h1")) | F.col("__id").isNull()
+    if not pairs.groupBy("__id").agg(differ.alias("differ")).where("differ").take(1):
+        return docs.withColumn(name, F.col("doc_id").cast("long")), None
+    # ids ascend from range to range and within each; stored, as they'd change if made again
+    dealt = pairs.distinct().repartitionByRange(n_partitions(docs.sparkSession), "__id", "__h0", "__h1").sortWithinPartitions("__id", "__h0", "__h1")
+    table = stored(dealt.withColumn("__number", F.monotonically_increasing_id()), "numbers")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (h[0] == F.col("__h0")) & (h[1] == F.col("__h1"))
+    rows = docs.join(table, same).drop("__id", "__h0", "__h1").withColumnRenamed("__number", name)
+    return rows, table.select(F.col("__number").alias(name), F.col("__id").alias("doc_id"))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, even where body uses it inside another lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import let, lower_ascii, stored
+from corvane.llm.common import let, lower_ascii, numbered, stored
 
 WORDS, SHARE = 3, 85
 CHUNKS, WIDTH, ERRORS, BITS = 8, 6, 1, 16
@@ -40,7 +40,6 @@ COMPONENTS = CHUNKS * WIDTH
 LARGE = 16
 #: Rows of (id) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-_NULL = -(1 << 63)
 _SPACE = r"[\x20\x09-\x0D]+"
 _RNG = np.random.default_rng(20240611)
 _FACTORS = _RNG.integers(1, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,8 +120,7 @@ def signatures(docs: DataFrame, words: int = WORDS, chunks: int = CHUNKS, width:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * n_keys)]), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(n), lists], names=["k", "d0", "d1", "n", "keys"])
 
-    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k")
-    return docs.select(k, shingle_hashes(F.col("text"), words).alias("h")).mapInArrow(run, "k long, d0 long, d1 long, n long, keys array<long>")
+    return docs.select("k", shingle_hashes(F.col("text"), words).alias("h")).mapInArrow(run, "k long, d0 long, d1 long, n long, keys array<long>")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> DataFrame:
@@ -172,8 +170,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """k, text of the documents in ids: their ids are broadcast if they are few enough, else both sides are shuffled."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), "text")
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -190,8 +187,20 @@ def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, chu
     w being the width, so smaller shares need more or narrower chunks.
 
     Texts without words (null, empty, white space) are linked with nothing. A null doc_id
-    is the smallest. Rows with an equal doc_id are one document, repeated rows get equal results.
+    is the smallest. Rows with an equal doc_id and text are one document, repeated rows get
+    equal results; rows with an equal doc_id and other texts, or null ones, are others.
     """
+    rows, table = numbered(docs.select("doc_id", "text"), "k")
+    out = _placed(rows, words, share, chunks, width)
+    kept = (F.col("k") == F.col("comp")).alias("kept")
+    if table is None:
+        return out.select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), kept)
+    out = out.join(table, "k").join(table.select(F.col("k").alias("comp"), F.col("doc_id").alias("component_id")), "comp")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
+
+
+def _placed(docs: DataFrame, words: int, share: int, chunks: int, width: int) -> DataFrame:
+    """k, n, comp (least k of its component) for each row of docs (k, text)."""
     sig = stored(signatures(docs, words, chunks, width), "signatures")
     classes = stored(sig.where("n > 0").groupBy("d0", "d1").agg(F.min("k").alias("rep")), "classes")
     reps = sig.join(classes, (sig["k"] == classes["rep"]) & (sig["d0"] == classes["d0"]) & (sig["d1"] == classes["d1"]), "left_semi")
@@ -222,20 +231,19 @@ def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, chu
     second = _compared(across.select("a", "b").distinct(), texts, words, share).where("linked").select("a", "b")
     two = components(links.unionAll(second))
     out = sig.select("k", "d0", "d1", "n").join(classes, ["d0", "d1"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("k")))
-    out = out.join(two.select(F.col("k").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    null = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    return out.select(null("k").alias("doc_id"), F.col("n").alias("n_shingles"), null("comp").alias("component_id"), (F.col("k") == F.col("comp")).alias("kept"))
+    return out.join(two.select(F.col("k").alias("rep"), "comp"), "rep", "left").select("k", "n", F.coalesce("comp", "rep").alias("comp"))
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE, chunks: int = CHUNKS, width: int = WIDTH) -> DataFrame:
     """The rows of docs without the near-duplicates of a document with a smaller doc_id; repeated rows leave one. The parameters are those of near_components."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
-    result = stored(near_components(docs, words, share, chunks, width).select(key.alias("__near_gone"), "kept"), "near")
+    rows, _ = numbered(docs, "__near_key")
+    placed = _placed(rows.select(F.col("__near_key").alias("k"), "text"), words, share, chunks, width)
+    result = stored(placed.select(F.col("k").alias("__near_gone"), (F.col("k") == F.col("comp")).alias("kept")), "near")
     gone = result.where("not kept").select("__near_gone")
-    rest = docs.withColumn("__near_key", key).join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("__near_key") == F.col("__near_gone"), "left_anti")
+    rest = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("__near_key") == F.col("__near_gone"), "left_anti")
     if result.where("kept").groupBy("__near_gone").count().where("count > 1").take(1):
         rest = rest.dropDuplicates(["__near_key"])
-    return rest.drop("__near_key")
+    return rest.select(*docs.columns)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

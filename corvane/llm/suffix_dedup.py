@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import n_partitions, stored
+from corvane.llm.common import n_partitions, numbered, stored
 
 LENGTH = 100
 #: Bytes handled at once by one worker; a longer document is handled alone.
@@ -35,7 +35,6 @@ CHUNK = 1 << 19
 SLICE = 8 << 20
 #: Different stretches of one anchor in one batch from which they are dealt out by stretch.
 HOT = 32
-_NULL = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOW = np.uint64((1 << 31) - 1)
@@ -211,10 +210,10 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(docs with __k, intervals): __k is doc_id, null as the smallest; intervals (doc, kind, begin, end) are repeats or open windows."""
+    """(docs with __k, intervals): __k numbers each different (doc_id, text) by doc_id, nulls first; intervals (doc, kind, begin, end) are repeats or open windows, doc being __k."""
     spark = docs.sparkSession
     n = n_partitions(spark)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("__k"), "*")
+    keyed, _ = numbered(docs, "__k")
 
     def stretches(batches):
         for b in (x for whole in batches for x in _slices(whole, "text", SLICE)):
@@ -320,7 +319,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     docs: doc_id, text (others are ignored). Texts are whole UTF-8 bytes, null as empty;
     texts under `length` bytes lose nothing; a null doc_id is the smallest; rows with an
-    equal doc_id are taken as one document, so repeated rows get equal results.
+    equal doc_id and text are taken as one document, so repeated rows get equal results.
     """
 
     def cut(batches):
