@@ -176,6 +176,15 @@ def _send(rows: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(np.full(n, _PARTS, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(data, pa.binary())], names=_NAMES)
 
 
+def _united(rows: np.ndarray, length: int) -> pa.RecordBatch:
+    """What the windows of repeated stretches cover, as intervals: those of a document that touch are one."""
+    if not len(rows):
+        return _intervals(_SPANS, rows["doc"], rows["lo"], rows["hi"])
+    docs, rank = np.unique(rows["doc"], return_inverse=True)
+    begin, end = _merge((rank << 32) + rows["lo"], (rank << 32) + rows["hi"] + length)
+    return _intervals(_SPANS, docs[begin >> 32], begin & 0xFFFFFFFF, end & 0xFFFFFFFF)
+
+
 _NAMES = ["part", "kind", "doc", "begin", "end", "data"]
 
 
@@ -227,7 +236,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
             rows = np.concatenate(got) if got else np.zeros(0, _ROW)
             order, _, first = _firsts([rows["bucket"], rows["key"]], rows["doc"], rows["at"])
             again = rows[order[~first]]
-            yield _intervals(_SPANS, again["doc"], again["lo"], again["hi"] + length)
+            yield _united(again, length)
             rows = rows[order[first]]  # by bucket
             begin = np.flatnonzero(np.concatenate([[True], rows["bucket"][1:] != rows["bucket"][:-1]])) if len(rows) else np.zeros(0, int)
             size = np.diff(np.append(begin, len(rows)))
@@ -249,7 +258,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         end = np.append(begin[1:], len(rows))
         many = np.repeat(group[begin] != group[end - 1], end - begin) if len(rows) else np.zeros(0, bool)
         rows = rows[many | (rows["mark"] == 1) | np.isin(rows["bucket"], marked)]
-        return pa.Table.from_batches([_intervals(_SPANS, again["doc"], again["lo"], again["hi"] + length), _intervals(_OPEN, rows["doc"], rows["lo"], rows["hi"] + 1)])
+        return pa.Table.from_batches([_united(again, length), _intervals(_OPEN, rows["doc"], rows["lo"], rows["hi"] + 1)])
 
     sent = keyed.select(F.col("__k").alias("k"), "text").mapInArrow(stretches, _SCHEMA)
     # what a batch has settled itself rides along to any part
