@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, local mode), a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one is set in local mode, and a cluster is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corvane-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     elif not spark.sparkContext.getCheckpointDir():
@@ -87,3 +94,36 @@ def range_index(doc_id: Column, bounds: list[int]) -> Column:
 
 def n_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def by_bytes(batches, column: str, limit: int):
+    """Slices of Arrow batches with about limit bytes of a text or binary column (a longer value is alone), so that a worker's memory doesn't follow the batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            base = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, base + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """run (batches -> batches) with give_back() at the task's end."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole

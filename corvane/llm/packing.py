@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import tokens
-from corvane.llm.common import stored
+from corvane.llm.common import by_bytes, stored, trimmed
 
 SIZE, OPEN_WINDOWS, MERGE_PARTITIONS = 2048, 64, 64
 _COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -58,18 +58,18 @@ class OpenWindows:
         return [self.windows[k] for _, k in self.rooms]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int | None = 1, open_windows: int = OPEN_WINDOWS, merge_partitions: int = MERGE_PARTITIONS, with_ids: bool = False, memo: int = tokens.MEMO_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int | None = 1, open_windows: int = OPEN_WINDOWS, merge_partitions: int = MERGE_PARTITIONS, with_ids: bool = False, memo_bytes: int = tokens.MEMO_BYTES) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids with with_ids.
 
     docs: doc_id, text (others are ignored). A null or empty text has only the end id
     (none at all, and no row, without an end id). Null doc_ids and repeated rows are
-    packed as they come. memo: words that a worker remembers. sequence_id is unique, not dense; offsets are gapless from 0.
+    packed as they come. memo_bytes: what a worker remembers of words. sequence_id is unique, not dense; offsets are gapless from 0.
     """
     tokenizer = tokenizer or tokens.default_path()
     schema = _COLUMNS + (", ids array<int>" if with_ids else "")
 
     def online(batches):
-        enc, part = tokens.encoder(tokenizer, memo), TaskContext.get().partitionId()
+        enc, part = tokens.encoder(tokenizer, memo_bytes), TaskContext.get().partitionId()
         tail = np.array([] if end_id is None else [end_id], np.int32)
         opened, emitted, rows = OpenWindows(open_windows, size), 0, []
 
@@ -81,9 +81,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
                 rows.append((d, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, number, at, state, ids if with_ids else None))
                 at += len(ids)
 
-        for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = np.concatenate([enc.encode(t.as_py()), tail])
+        for b in by_bytes(batches, "text", tokens.TEXT_BYTES):
+            flat, counts = enc.encode_many(b.column("text"))
+            stops = np.cumsum(counts)
+            for d, i, j in zip(b.column("doc_id").to_pylist(), (stops - counts).tolist(), stops.tolist()):
+                ids = np.concatenate([flat[i:j], tail])
                 n = len(ids)
                 for start in range(0, n, size):
                     piece = (d, start, ids[start : start + size], n)
@@ -102,7 +104,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
             emit(window, 1)
         yield _batch(rows, with_ids)
 
-    placed = stored(docs.select("doc_id", "text").mapInArrow(online, f"{_COLUMNS}, open int, ids array<int>"), "packed")
+    placed = stored(docs.select("doc_id", "text").mapInArrow(trimmed(online), f"{_COLUMNS}, open int, ids array<int>"), "packed")
     columns = [c.split()[0] for c in schema.split(", ")]
     groups = placed.where("open = 1").withColumn("g", F.expr(f"shiftright(sequence_id, 32) div {merge_partitions}"))
 

@@ -12,14 +12,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from corvane.llm.common import by_bytes, trimmed
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of doc_id.
 TRAIN_ROWS = 4000
 THRESHOLD = 0.3
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _UPPER, _LOWER, _HIGH, _DIGIT, _SPACE, _SYMBOL, _SHOUT, _BAR, _STOP, _CONT, _N = range(11)
-_CLASS = np.full(256, _SYMBOL)
+_CLASS = np.full(256, _SYMBOL, np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[192:], _CLASS[128:192], _CLASS[48:58] = _UPPER, _LOWER, _HIGH, _CONT, _DIGIT
 _CLASS[[9, 10, 13, 32]], _CLASS[[33]], _CLASS[[124, 95, 47, 92]], _CLASS[[ord(c) for c in ".,;:?'\"()-"]] = _SPACE, _SHOUT, _BAR, _STOP
 _STEPS = (0.01, 0.05, 0.15, 0.4)
@@ -32,20 +35,20 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     starts = np.concatenate([[0], ends[:-1] + 1])
     n_lines = np.array([t.count(b"\n") + 1 for t in texts])
     kinds = _CLASS[data]
-    counts = np.stack([np.add.reduceat((kinds == k).astype(np.int32), starts) for k in range(_N)], 1).astype(np.float64)
+    counts = np.stack([np.add.reduceat(kinds == k, starts, dtype=np.int32) for k in range(_N)], 1).astype(np.float64)
     counts[:, _SPACE] -= 1  # the line's own end
     size = (ends - starts).astype(np.float64)
     chars = np.maximum(size - counts[:, _CONT], 1)
     shares = counts[:, [_UPPER, _HIGH, _DIGIT, _SPACE, _SYMBOL, _SHOUT, _BAR, _STOP]] / chars[:, None]
     gaps = kinds == _SPACE
-    words = np.add.reduceat((gaps[1:] & ~gaps[:-1]).astype(np.int32), np.minimum(starts, max(len(data) - 2, 0))) if len(data) > 1 else np.zeros(len(starts))
+    words = np.add.reduceat(gaps[1:] & ~gaps[:-1], np.minimum(starts, max(len(data) - 2, 0)), dtype=np.int32) if len(data) > 1 else np.zeros(len(starts))
     length = chars / np.maximum(words, 1)
     heads = np.flatnonzero(~gaps & np.concatenate([[True], gaps[:-1]]))  # word starts
-    stutter = np.zeros(len(data), np.int32)  # 1 where a word has the bytes of the word before it
+    stutter = np.zeros(len(data), bool)  # 1 where a word has the bytes of the word before it
     if len(heads) > 1:
         total, span = np.add.reduceat(data, heads, dtype=np.int64), np.diff(np.append(heads, len(data)))
         stutter[heads[1:]] = (total[1:] == total[:-1]) & (span[1:] == span[:-1])
-    repeats = np.add.reduceat(stutter, starts) / np.maximum(words, 1)
+    repeats = np.add.reduceat(stutter, starts, dtype=np.int32) / np.maximum(words, 1)
     seen: dict[bytes, int] = {}
     again, at = np.zeros(len(starts)), 0
     for t in texts:
@@ -143,35 +146,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Colum
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label").limit(limit).collect()  # limit rows at most
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
-    """Slices of texts of about limit bytes."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column, train_rows: int = TRAIN_ROWS) -> Chain:
     rows = training_rows(docs, labels, "quality", allowed, train_rows)
     return Chain.fit([r.text.encode() for r in rows], np.array([int(r.label) for r in rows]))
 
 
 def with_score(docs: DataFrame, score_of, name: str = "score") -> DataFrame:
-    """docs and a double column name: score_of(list of UTF-8 texts) of its text column, whole texts, null as empty."""
-    fields = [f for f in docs.schema.fields if f.name != name]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {name} double"
+    """docs and a double column name: score_of(list of UTF-8 texts) of its text column, whole texts, null as empty. docs must not have a column of that name."""
+    names = docs.columns
+    if name.lower() in (c.lower() for c in names):
+        raise ValueError(f"docs has a column {name} already: give another name")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, "text", CHUNK_BYTES):
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            out = np.concatenate([np.zeros(0), *[score_of(c) for c in chunks(texts)]])
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(out, pa.float64())], names=[*[f.name for f in fields], name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_of(texts), pa.float64())], names=[*names, name])
 
-    return docs.select(*[f.name for f in fields]).mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def score_quality(docs: DataFrame, model: Chain) -> DataFrame:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import tokens
-from corvane.llm.common import n_partitions, range_bounds, range_index, scratch
+from corvane.llm.common import by_bytes, n_partitions, range_bounds, range_index, scratch, trimmed
 
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = 60 // COUNTS
 ESCAPE = 15
-BLOCK = 1 << 14
+BLOCK = 1 << 10
 #: Ids of a segment, unless one document has more.
 SEGMENT_IDS = 1 << 20
 _SELECTOR = np.full(int(COUNTS[0]) + 1, ESCAPE)  # by count; 0: no width is enough
@@ -64,13 +64,17 @@ def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
             widest = np.maximum(widest, np.append(widest[more:], np.zeros(more, np.uint8)))
             have = count
         step[widest <= 60 // count] = count
-    counts, starts = step.tobytes(), []
-    for k in range(blocks):
-        i, end = k * (block + most), k * (block + most) + min(block, n - k * block)
-        while i < end:
-            starts.append(i)
-            i += counts[i] or 1
-    starts = np.array(starts)
+    # all blocks take their next word at once
+    marked = np.zeros(len(flat), bool)
+    at = np.arange(blocks) * (block + most)
+    end = at + np.minimum(block, n - np.arange(blocks) * block)
+    while len(at):
+        marked[at] = True
+        at = at + np.maximum(step[at], 1)
+        live = at < end
+        if not live.all():
+            at, end = at[live], end[live]
+    starts = np.flatnonzero(marked)
     took = step[starts]
     chosen = _SELECTOR[took]
     size = np.where(chosen == ESCAPE, 2, 1)
@@ -165,21 +169,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             before, segment, ids, arrays, held = before + held, segment + 1, [], [], 0
             return row
 
-        for b in batches:
-            for d, t, q in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("r").to_pylist()):
+        for b in by_bytes(batches, "text", tokens.TEXT_BYTES):
+            flat, counts = enc.encode_many(b.column("text"))
+            stops = np.cumsum(counts)
+            for d, q, i, j in zip(b.column("doc_id").to_pylist(), b.column("r").to_pylist(), (stops - counts).tolist(), stops.tolist()):
                 if q != r or held >= SEGMENT_IDS:
                     if ids:
                         yield flush()
                     if q != r:
                         r, before, segment = q, 0, 0
-                got = np.concatenate([enc.encode(t.as_py()), tail])
+                got = np.concatenate([flat[i:j], tail])
                 ids.append(d)
                 arrays.append(got)
                 held += len(got)
         if ids:
             yield flush()
 
-    dealt.mapInArrow(encode, "segment_range int, segment int, before long, n_tokens long, payload binary").write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(trimmed(encode), "segment_range int, segment int, before long, n_tokens long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,22 +1,34 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded per-worker memo of words.
+"""Token ids of whole texts by the tokenizers library, with a per-worker memo of words bounded in bytes.
 
 A byte-level BPE splits a text into pre-tokens before it merges; between a non-space
 character and a single space there is always such a split. So a text may be cut before
 each space, and the ids of the pieces, encoded by the library once and remembered,
 joined. Texts with runs of white space, where that cut could fall inside a pre-token,
 are encoded whole.
+
+Many texts are encoded together: their words are cut and numbered by Arrow, each
+different word is looked up once, and words that no memo holds go to the library many at
+a time, joined by the spaces that separate them again in its output.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space between two white-space characters, or between one and the end: the text is encoded whole.
 _WHOLE = re.compile(r"\s (?:\s|\Z)")
-#: Words remembered by one Python worker at most (about 200 bytes each), and the longest one.
-MEMO_WORDS, MEMO_CHARS = 1_500_000, 64
+#: Bytes of words and ids that one Python worker remembers at most, with what Python needs for an entry besides.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 200
+#: Words and characters that are given to the library in one call.
+JOIN_WORDS, JOIN_CHARS = 512, 1 << 15
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 2 << 20
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -25,68 +37,125 @@ def default_path() -> str:
 
 
 class Encoder:
-    """encode(text) -> int32 ids, equal to those of Tokenizer.encode(text, add_special_tokens=False)."""
+    """Ids equal to those of Tokenizer.encode(text, add_special_tokens=False), as int32.
 
-    def __init__(self, path: str, memo: int = MEMO_WORDS):
+    The memo has two generations of half the bytes each: when the younger is full the
+    older is forgotten, so words in use stay.
+    """
+
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
-        self.begin, self.length = np.zeros(memo + 1, np.int64), np.zeros(memo + 1, np.int32)
-        self.memo = memo
+        vocab = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids whose first byte is a space
+        self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.limit = memo_bytes // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.used = 0
 
     def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        head, *words = text.split(" ")
-        first = np.array(self.whole(head) if head else [], np.int32)
-        if not words:
-            return first
-        get = self.index.get
-        at = [get(w, -1) for w in words]
-        rest: dict[int, np.ndarray] = {}
-        if -1 in at:
-            for i, k in enumerate(at):
-                if k < 0:
-                    k = at[i] = get(words[i], -1)
-                if k < 0:
-                    if (not words[i] or words[i][0].isspace()) and _WHOLE.search(text):
-                        return np.array(self.whole(text), np.int32)
-                    ids = self.whole(" " + words[i])
-                    at[i] = k = self._remember(words[i], ids)
-                    if k < 0:
-                        rest[i] = np.array(ids, np.int32)
-        if rest:
-            return np.concatenate([first, *[rest[i] if k < 0 else self.flat[self.begin[k] : self.begin[k] + self.length[k]] for i, k in enumerate(at)]])
-        at = np.array(at, np.int64)
-        n = self.length[at].astype(np.int64)
+        return self.encode_many(pa.array([text], pa.string()))[0]
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); nulls are empty."""
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        parts = pc.split_pattern(texts.fill_null(""), " ")
+        first = parts.value_lengths().to_numpy().astype(np.int64).cumsum()
+        first = np.concatenate([[0], first[:-1]])  # every text has a part at least: what stands before its first space
+        coded = parts.flatten().dictionary_encode()
+        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads, place = np.unique(index[first], return_inverse=True)
+        inner = np.ones(len(index), bool)
+        inner[first] = False
+        used = np.zeros(len(words), bool)
+        used[index[inner]] = True
+        initial = pc.utf8_slice_codeunits(coded.dictionary, 0, 1).dictionary_encode()
+        blank = np.array([not c or c.isspace() for c in initial.dictionary.to_pylist()])[initial.indices.to_numpy()]
+        index[first] = len(words) + place
+        extra = []
+        odd = np.flatnonzero(blank[index[inner]]) if blank.any() else []
+        if len(odd):
+            owner = np.searchsorted(first, np.flatnonzero(inner)[odd], "right") - 1
+            ends = np.append(first[1:], len(index))
+            for k in np.unique(owner):
+                text = texts[int(k)].as_py()
+                if _WHOLE.search(text):
+                    index[first[k] : ends[k]] = -1  # nothing
+                    index[first[k]] = len(words) + len(heads) + len(extra)
+                    extra.append(np.array(self.whole(text), np.int32).tobytes())
+        pieces = self._pieces([w if u else None for w, u in zip(words, used)] + [" " + words[h] for h in heads])
+        pieces += [*extra, b""]
+        flat = np.frombuffer(b"".join(pieces), np.int32)
+        length = np.array([len(p) for p in pieces], np.int64) >> 2
+        begin = np.cumsum(length) - length
+        n = length[index]
         end = np.cumsum(n)
-        return np.concatenate([first, self.flat[np.repeat(self.begin[at] - end + n, n) + np.arange(end[-1])]])
-
-    def _remember(self, word: str, ids: list[int]) -> int:
-        k = len(self.index)
-        if k >= self.memo or len(word) > MEMO_CHARS or not word or word[0].isspace():  # a word after white space is looked at each time
-            return -1
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[k], self.length[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.index[word] = k
-        return k
+        ids = flat[np.repeat(begin[index] - end + n, n) + np.arange(end[-1])]
+        return ids, np.add.reduceat(n, first)
+
+    def _pieces(self, keys: list[str | None]) -> list[bytes]:
+        """The ids of each key's piece: a space and the key, or, of a key that begins with a space, what follows it; none for None or a space."""
+        out = list(map(self.young.get, keys))
+        miss = [i for i, x in enumerate(out) if x is None]
+        missed = [keys[i] for i in miss]
+        again, words = {}, []
+        for k, x in zip(missed, map(self.old.get, missed)) if self.old else ((k, None) for k in missed):
+            if x is not None or k is None or k == " ":
+                again[k] = x or b""
+            elif k and not k[0].isspace():
+                words.append(k)
+            else:
+                again[k] = np.array(self.whole(k[1:] if k else " "), np.int32).tobytes() if k[:1] in ("", " ") else np.array(self.whole(" " + k), np.int32).tobytes()
+        start = 0
+        while start < len(words):
+            stop, chars = start, 0
+            for k in words[start : start + JOIN_WORDS]:
+                stop, chars = stop + 1, chars + len(k)
+                if chars >= JOIN_CHARS:
+                    break
+            group = words[start:stop]
+            got = self._joined(group)
+            self._remember(group, got, 4 * chars)
+            again.update(zip(group, got))
+            start = stop
+        old = [k for k in again if k in self.old]
+        self._remember(old, [again[k] for k in old], 4 * sum(map(len, old)))
+        for i, k in zip(miss, missed):
+            out[i] = again[k]
+        return out
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.whole(" " + " ".join(words)), np.int32)
+        cuts = np.flatnonzero(self.spaced[ids])
+        if len(cuts) == len(words) and not cuts[0]:
+            data, cuts = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+            return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return [np.array(self.whole(" " + w), np.int32).tobytes() for w in words]  # not a byte-level BPE: one by one
+
+    def _remember(self, keys: list[str], ids: list[bytes], size: int) -> None:
+        size += ENTRY_BYTES * len(keys) + sum(map(len, ids))
+        if size > self.limit >> 1:
+            return
+        if self.used + size > self.limit:
+            self.old, self.young, self.used = self.young, {}, 0
+        self.young.update(zip(keys, ids))
+        self.used += size
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, memo: int = MEMO_WORDS) -> Encoder:
+def encoder(path: str, memo_bytes: int = MEMO_BYTES) -> Encoder:
     """The encoder of this worker process; workers are reused from task to task, and only the last encoder is kept."""
-    if (path, memo) not in _ENCODERS:
+    if (path, memo_bytes) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, memo] = Encoder(path, memo)
-    return _ENCODERS[path, memo]
+        _ENCODERS[path, memo_bytes] = Encoder(path, memo_bytes)
+    return _ENCODERS[path, memo_bytes]

@@ -24,7 +24,7 @@ def test_memo_equals_library(text):
 
 
 def test_full_memo_equals_library():
-    enc = tokens.Encoder(tokens.default_path(), memo=2)
+    enc = tokens.Encoder(tokens.default_path(), memo_bytes=2000)
     for text in ("one two three four two one", "x" * 100 + " yes", " a b", "", "<|endoftext|> a"):
         assert enc.encode(text).tolist() == (enc.whole(text) if text else [])
 
