@@ -17,8 +17,8 @@ from corvane.llm.packing import pack
 from corvane.llm.quality import THRESHOLD, fit_quality, fold, score_quality
 from corvane.llm.suffix_dedup import dedup_text
 
-#: Words that a packing worker remembers: the workers live on through the other stages, which need the memory.
-MEMO_WORDS = 250_000
+#: Bytes of words that a packing worker remembers: the workers live on through the other stages, which need the memory.
+MEMO_BYTES = 48 << 20
 #: Near-duplicates share 80 % of their 5-word shingles; with 9 chunks of 5 min-hashes such a pair shares no key with a probability of about 6e-6.
 NEAR = {"words": 5, "share": 80, "chunks": 9, "width": 5}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the rest into sequences of 2048 ids; a row for each piece, with its ids."""
-    return pack(docs, with_ids=True, memo=MEMO_WORDS)
+    return pack(docs, with_ids=True, memo_bytes=MEMO_BYTES)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontamination", decontamination), ("packing", packing)]
