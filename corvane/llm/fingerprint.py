@@ -1,10 +1,16 @@
-"""Document fingerprints by winnowing, in DataFrame functions only.
-
-A text's words (runs without white space) give a hash for each k consecutive ones: 64
-bits, rolled on from word to word. Of every w consecutive hashes the least is chosen, the rightmost one in ties,
-and its position kept: any run of w + k - 1 words that two texts share gives both the
-same chosen hash at the same place of the run. Texts with fewer hashes than w are one
-window, texts with fewer words than k are one k-gram.
+"""Document fingerprints by winnowing over characters, in DataFrame functions only.
+
+Every run of k code points has a rolling hash, a cyclic polynomial: the 64-bit hashes of
+its characters, each rotated by its place, xor-ed. The hash of 2m characters is that of
+the first m, rotated by m, xor that of the next m, so k characters take log2(k) steps
+for all positions at once. Of every w consecutive hashes the least is chosen (all 64 bits
+count), the rightmost one in ties, and its position kept: any run of w + k - 1 characters
+that two texts share gives both the same chosen hash at the same place of the run. Texts
+with fewer hashes than w are one window, texts with fewer than k characters are one k-gram.
+
+The edited text shares its beginning with its document and its end with the next one, so
+its fingerprint is put together from theirs: a chosen hash whose first window lies within
+the shared part is chosen there too, and only the windows across the seam are computed.
 """
 
 from __future__ import annotations
@@ -14,35 +20,54 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import let, n_partitions, range_bounds, range_index
 
-K, W = 3, 4
-_POSITIONS = (1 << 31) - 1
+#: k and w are powers of two.
+K, W = 16, 32
+
+
+def _powers(n: int) -> list[int]:
+    """1, 2, 4 ... n / 2."""
+    if n < 1 or n & (n - 1):
+        raise ValueError("k and w must be powers of two")
+    return [1 << i for i in range(n.bit_length() - 1)]
+
+
+def gram_hashes(text: Column, k: int = K) -> Column:
+    """array<long>: the rolling hash of each run of k code points; of a shorter text, one of its characters; none of an empty one."""
+    out = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
+
+    def doubled(m: int):
+        # a null where the run would pass the end
+        return lambda h: F.transform(h, lambda x, i: F.shiftleft(x, m).bitwiseOR(F.shiftrightunsigned(x, 64 - m)).bitwiseXOR(F.get(h, i + m)))
+
+    for m in _powers(k):
+        out = let(out, doubled(m))
+    size = F.char_length(text)
+    return F.when(size >= k, F.slice(out, 1, F.greatest(size - k + 1, F.lit(1)))).when(size > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<long>"))
 
 
 def chosen(text: Column, k: int = K, w: int = W) -> Column:
-    """array<struct<hash long, pos int>>: the chosen hashes, in order of position; empty without words."""
+    """array<struct<hash long, pos int, first int>>: the chosen hashes in order of position, with the first window that chooses each; empty for an empty text."""
+
+    def picked(h: Column) -> Column:
+        less = lambda a, b: F.coalesce(F.get(h, a) < F.get(h, b), F.lit(True))  # noqa: E731  a window ends with the text
+        first = F.transform(h, lambda x, i: F.when(F.coalesce(x < F.get(h, i + 1), F.lit(True)), i).otherwise(i + 1))
+        at = first if w > 1 else F.transform(h, lambda x, i: i)
 
-    def inner(x: Column) -> Column:
-        head = F.when(F.element_at(x, 1) == "", 1).otherwise(0)
-        tail = F.when((F.element_at(x, -1) == "") & (F.size(x) > 1), 1).otherwise(0)
-        return F.slice(x, head + 1, F.size(x) - head - tail)
+        def wider(m: int):
+            return lambda p: F.transform(p, lambda a, i: F.when(less(a, F.get(p, i + m)), a).otherwise(F.get(p, i + m)))
 
-    def grams(x: Column) -> Column:
-        every = F.transform(x, lambda first, i: F.xxhash64(first, *[F.get(x, i + j) for j in range(1, k)]))
-        return F.slice(every, 1, F.greatest(F.size(x) - k + 1, F.least(F.size(x), F.lit(1))))
+        for m in _powers(w)[1:]:
+            at = let(at, wider(m))
+        count = F.greatest(F.size(h) - w + 1, F.lit(1))
 
-    words = F.split(F.coalesce(text, F.lit("")), r"\s+")
+        def distinct(p: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), count - 1), lambda s: (s == 0) | (F.get(p, s) != F.get(p, s - 1)))
+            return F.transform(starts, lambda s: F.struct(F.get(h, F.get(p, s)).alias("hash"), F.get(p, s).alias("pos"), s.alias("first")))
 
-    def windows(g: Column) -> Column:
-        # 31 hash bits above the position counted from the end: the least is the rightmost least hash
-        packed = F.transform(g, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 31).bitwiseOR(F.lit(_POSITIONS).cast("long") - i))
-        count = F.greatest(F.size(g) - w + 1, F.lit(1))
-        # one by one, as slice copies the whole array each time
-        at = lambda p, i: F.least(*[F.get(p, i + j) for j in range(w)]) if w > 1 else F.get(p, i)
-        least = let(packed, lambda p: F.transform(F.sequence(F.lit(0), count - 1), lambda i: at(p, i)))
-        picked = F.transform(F.array_distinct(least), lambda m: (F.lit(_POSITIONS).cast("long") - m.bitwiseAND(_POSITIONS)).cast("int"))
-        return F.when(F.size(g) > 0, F.transform(picked, lambda p: F.struct(F.get(g, p).alias("hash"), p.alias("pos")))).otherwise(F.slice(F.transform(g, lambda x: F.struct(x.alias("hash"), F.lit(0).alias("pos"))), 1, 0))
+        none = F.array().cast("array<struct<hash:bigint,pos:int,first:int>>")
+        return F.when(F.size(h) > 0, let(at, distinct)).otherwise(none)
 
-    return let(let(let(words, inner), grams), windows)
+    return let(gram_hashes(text, k), picked)
 
 
 def as_string(fp: Column) -> Column:
@@ -85,6 +110,20 @@ def with_next(docs: DataFrame, more: dict | None = None) -> DataFrame:
     return out.where("not ghost").select("doc_id", "text", "next_text", *[x for c in more or {} for x in (c, f"next_{c}")])
 
 
+def _edited(k: int, w: int) -> Column:
+    """chosen(the edited text) from the columns text, next_text, a, next_a (their chosen), kept (characters before the seam) and tail (characters after it)."""
+    run = k + w - 1
+    whole = F.col("kept") < run  # no window before the seam
+    begin = F.when(whole, 0).otherwise(F.col("kept") - run + 1)
+    seam = F.concat(F.substring("text", begin + 1, F.col("kept") - begin), F.substring("next_text", F.lit(1), F.when(whole, F.col("tail")).otherwise(F.least(F.col("tail"), F.lit(run - 1)))))
+    moved = lambda x, by, first: F.struct(x["hash"].alias("hash"), (x["pos"] + by).alias("pos"), first.alias("first"))
+    before = F.filter("a", lambda x: ~whole & (x["first"] <= F.col("kept") - run))
+    across = F.transform(chosen(seam, k, w), lambda x: moved(x, begin, x["first"] + begin))
+    after = F.transform(F.filter("next_a", lambda x: ~whole & (x["first"] <= F.col("tail") - run)), lambda x: moved(x, F.col("kept"), x["first"] + F.col("kept")))
+    joined = F.concat(before, across, after)
+    return let(joined, lambda x: F.filter(x, lambda e, i: (i == 0) | (e["pos"] != F.get(x, i - 1)["pos"])))
+
+
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
 
@@ -92,12 +131,14 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     empty fingerprint, two empty ones are alike (1), one is unlike any other (0). Rows
     with equal doc_id follow each other in the order of their texts; a single row is its own next.
     """
-    cut = F.floor(F.col("n_chars") / 4).cast("int")
     rows = with_next(docs, {"a": chosen(F.col("text"), k, w)}).withColumn("n_chars", F.char_length("text"))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = rows.select("doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), "a", chosen(edited, k, w).alias("b"), F.col("next_a").alias("c"))
+    cut = F.floor(F.col("n_chars") / 4).cast("int")
+    rows = rows.withColumns({"kept": F.col("n_chars") - cut, "tail": F.least(cut, F.char_length("next_text"))})
+    edited = F.concat(F.substring("text", F.lit(1), F.col("kept")), F.substring("next_text", F.lit(1), F.col("tail")))
+    rows = rows.select("doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), "a", _edited(k, w).alias("b"), F.col("next_a").alias("c"))
     return rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document of `documents` and of its edited text."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import xxhash
+
 from corvane.llm import fingerprint as fp
 
 
@@ -28,20 +30,70 @@ def test_edits_and_likeness(spark):
     assert all(len(x) == 1 for x in by.values())
     long = [r for r in got if r.n_chars > 800]
     assert min(r.near_edited for r in long) > 0.4 and max(r.near_next for r in long) < 0.1
+    assert all(r.fingerprint for r in got if r.n_chars)
 
 
-def test_windows_choose_the_rightmost_least(spark):
-    text = "a b c d e f a b c d e f g a a a a a a a"
-    got = spark.createDataFrame([(text,)], "text string").select(fp.chosen(fp.F.col("text"), 2, 3).alias("c"), fp.chosen(fp.F.col("text"), 2, 1).alias("all")).first()
-    grams = [(r["hash"], r["pos"]) for r in got["all"]]
-    assert [p for _, p in grams] == list(range(19))
-    key = lambda h: (h % (1 << 64)) >> 33
-    want = []
-    for i in range(len(grams) - 2):
-        best = min(grams[i : i + 3], key=lambda g: (key(g[0]), -g[1]))
-        if best not in want:
-            want.append(best)
-    assert [(r["hash"], r["pos"]) for r in got["c"]] == want
+def rolled(text, k):
+    """Every run's hash from its own characters."""
+    mask = (1 << 64) - 1
+    rotate = lambda x, n: ((x << n % 64) | (x >> (64 - n % 64))) & mask if n % 64 else x
+    char = lambda c: xxhash.xxh64_intdigest(c.encode(), seed=42)
+    out = []
+    for i in range(max(0, len(text) - k + 1)):
+        h = 0
+        for j in range(k):
+            h ^= rotate(char(text[i + j]), k - 1 - j)
+        out.append(h)
+    if text and not out:
+        out = [xxhash.xxh64_intdigest(text.encode(), seed=42)]
+    return [h - (1 << 64) if h >> 63 else h for h in out]
+
+
+def winnow(text, k, w):
+    grams = rolled(text, k)
+    out = []
+    for i in range(max(1, len(grams) - w + 1) if grams else 0):
+        best = min(range(i, min(i + w, len(grams))), key=lambda p: (grams[p], -p))
+        if not out or out[-1][1] != best:
+            out.append((grams[best], best))
+    return out
+
+
+def share(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_equal_plain_winnowing(spark):
+    rng = random.Random(11)
+    some = lambda n, letters="abcdefgé 漢": "".join(rng.choice(letters) for _ in range(n))
+    sizes = [0, 1, 5, 15, 16, 17, 46, 47, 48, 60, 61, 62, 63, 64, 70, 100, 190, 250, 400, 900]
+    rows = [(i, some(rng.choice(sizes))) for i in range(90)] + [(200, "a" * 500), (201, "ab" * 300), (202, some(4000, "xyz")), (203, None), (None, some(80)), (None, some(300)), (77, "twin"), (78, some(700, "q"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for k, w in ((fp.K, fp.W), (4, 8), (1, 1)):
+        got = sorted(fp.fingerprints(df, k, w).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256))
+        s = order(rows)
+        want = []
+        for i, (d, t) in enumerate(s):
+            t, nxt = t or "", s[(i + 1) % len(s)][1] or ""
+            m = len(t) // 4
+            e = t[: len(t) - m] + nxt[:m]
+            a, b, c = winnow(t, k, w), winnow(e, k, w), winnow(nxt, k, w)
+            string = lambda x: " ".join(f"{h % (1 << 64):x}:{p:x}" for h, p in x)
+            want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), string(a), string(b), share(a, b), share(a, c)))
+        want.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        for x, y in zip(got, want, strict=True):
+            assert tuple(x)[:5] == y[:5], (k, w, x.doc_id)
+            assert abs(x.near_edited - y[5]) < 1e-9 and abs(x.near_next - y[6]) < 1e-9
+
+
+def test_a_shared_run_shares_a_hash(spark):
+    rng = random.Random(4)
+    unspaced = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    run = unspaced(fp.K + fp.W - 1)
+    a, b = unspaced(333) + run + unspaced(90), unspaced(7) + run + unspaced(500)
+    got = spark.createDataFrame([(a,), (b,)], "t string").select(fp.chosen(fp.F.col("t")).alias("c")).collect()
+    assert {r["hash"] for r in got[0].c} & {r["hash"] for r in got[1].c}
 
 
 def test_small_tables(spark):
