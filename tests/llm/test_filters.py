@@ -158,16 +158,76 @@ def test_toxicity_held_out(spark):
     assert np.mean([(r.score >= toxicity.THRESHOLD) == r.label for r in rows]) > 0.94
 
 
+def kinds(g, sentence):
+    return [k for k, _ in g.clause(toxicity._TOKEN.findall(sentence.lower()))]
+
+
 def test_grammar_composition():
     g = toxicity.Grammar({"idiot$": 8.0, "lowei": 8.0})
-    kinds = lambda s: [k for k, _ in g.clause(s.split())]
-    assert kinds("you are an idiot") == ["insult_targeted"]
-    assert kinds("an idiot sat there") == ["insult"]
-    assert kinds("he is not an idiot") == ["insult_negated"]
-    assert kinds("the paper said an idiot sat") == ["insult_reported"]
-    assert kinds("they will kill you") == ["threat_targeted"] and kinds("loweiung idiotic") == ["insult"]
+    for sentence, want in (
+        ("you are an idiot", "insult_targeted"),
+        ("you're an idiot", "insult_targeted"),
+        ("an idiot sat there", "insult"),
+        ("he is not an idiot", "insult_negated"),
+        ("he is not really a very great idiot", "insult_negated"),
+        ("tu n'es pas un idiot", "insult_negated"),
+        ("du bist kein idiot", "insult_negated"),
+        ("no eres un idiot", "insult_negated"),
+        ("he isn't nice, but an idiot", "insult_targeted"),
+        ("the paper said an idiot sat", "insult_reported"),
+        ("he said: you are an idiot", "insult_reported"),
+        ("he wrote, you are an idiot", "insult_reported"),
+        ('"you idiot", he said', "insult_reported"),
+        ("you are an idiot, the teacher said", "insult_reported"),
+        ('"oh" she said, you idiot', "insult_reported"),
+        ("they will kill you", "threat_targeted"),
+        ("they said they will kill you", "threat_reported"),
+        ("ich töte dich nicht", "threat_negated"),
+        ("loweiung idiotic", "insult"),
+    ):
+        assert kinds(g, sentence) == [want], sentence
     low, mid, high = (g.scores([t.encode()])[0] for t in ("nothing here", "he said: the idiot sat", "You idiot. you idiot"))
-    assert low < mid < high
+    assert low < mid < 0.5 < high
+    quoted, meant = g.scores([b'"You idiot!" he said.', b"You idiot! He left."])
+    assert quoted < 0.5 < meant
+
+
+def test_composition_equals_one_after_the_other():
+    rng = np.random.default_rng(2)
+    machines = [toxicity.negation(), toxicity.report(), toxicity.target(), toxicity.negation_behind(), toxicity.report_behind()]
+    for _ in range(200):
+        symbols = rng.choice([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 16], rng.integers(0, 30)).tolist()
+        i, j = rng.integers(0, len(machines), 2)
+        ones = [1.0] * len(symbols)
+        assert toxicity.compose(machines[i], machines[j]).run(symbols, ones) == machines[j].run(*machines[i].run(symbols, ones))
+
+
+def test_toxicity_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "fine", "x"), (3, "fine", "x"), (None, "you idiot " * 50000, "x"), (5, "you idiot", "x")], "doc_id long, text string, label string")
+    g = toxicity.Grammar({"idiot$": 8.0})
+    got = toxicity.score_toxicity(docs, g).collect()
+    base = g.scores([b""])[0]
+    assert [r.score for r in got[:4]] == [base] * 4 and got[4].score > 0.7 and got[5].score > 0.7
+    with pytest.raises(ValueError):
+        toxicity.score_toxicity(docs.withColumnRenamed("label", "score"), g)
+    for labels in ([(5, 1), (3, 1)], [(5, 0), (3, None), (None, 1)], []):  # one class, nulls, none
+        table = spark.createDataFrame(labels, "doc_id long, toxic int")
+        fitted = toxicity.fit_toxicity(docs, table, F.lit(True))
+        assert fitted.stems == {} and all(0 <= r.score <= 1 for r in toxicity.score_toxicity(docs, fitted).collect())
+
+
+def test_toxicity_beats_words_alone(spark):
+    """Held-out recall, and the reports and negations that words alone would call toxic."""
+    docs, labels = labelled(spark, "toxic")
+    grammar = toxicity.fit_toxicity(docs, labels.withColumnRenamed("label", "toxic"), toxicity.fold(F.col("doc_id"), 3) != 1)
+    rows = docs.join(labels, "doc_id").where(toxicity.fold(F.col("doc_id"), 3) == 1).collect()
+    scores = grammar.scores([(r.text or "").encode() for r in rows])
+    words_alone = [grammar.trigger.search((r.text or "").lower()) is not None for r in rows]
+    wrong = lambda predicted: sum(bool(p) != bool(r.label) for p, r in zip(predicted, rows))
+    assert wrong(s >= toxicity.THRESHOLD for s in scores) <= wrong(words_alone)
+    word = next(s.rstrip("$") for s in sorted(grammar.stems) if s.endswith("$"))
+    for sentence in ("You are not {}.", 'He said: "you are {}".', '"You {}", he said.'):
+        assert grammar.scores([sentence.format(word).encode()])[0] < toxicity.THRESHOLD
 
 
 def test_folds_follow_crc32(spark):
