@@ -39,6 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: name, behind as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
     """(docs with a long column name, table): a number for each different (doc_id, text), ascending by doc_id, nulls first.
 
@@ -47,17 +55,18 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
     (name, doc_id) of each number.
     """
     # 128 bits of hash tell texts apart
+    id_, h0, h1, number = (fresh(docs, c) for c in ("number_id", "number_h0", "number_h1", "number"))
     h = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
-    pairs = docs.select(F.col("doc_id").cast("long").alias("__id"), h[0].alias("__h0"), h[1].alias("__h1"))
-    differ = (F.min("__h0") < F.max("__h0")) | (F.min("__h1") < F.max("__h1")) | F.col("__id").isNull()
-    if not pairs.groupBy("__id").agg(differ.alias("differ")).where("differ").take(1):
+    pairs = docs.select(F.col("doc_id").cast("long").alias(id_), h[0].alias(h0), h[1].alias(h1))
+    differ = (F.min(h0) < F.max(h0)) | (F.min(h1) < F.max(h1)) | F.col(id_).isNull()
+    if not pairs.groupBy(id_).agg(differ.alias("differ")).where("differ").take(1):
         return docs.withColumn(name, F.col("doc_id").cast("long")), None
     # ids ascend from range to range and within each; stored, as they'd change if made again
-    dealt = pairs.distinct().repartitionByRange(n_partitions(docs.sparkSession), "__id", "__h0", "__h1").sortWithinPartitions("__id", "__h0", "__h1")
-    table = stored(dealt.withColumn("__number", F.monotonically_increasing_id()), "numbers")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (h[0] == F.col("__h0")) & (h[1] == F.col("__h1"))
-    rows = docs.join(table, same).drop("__id", "__h0", "__h1").withColumnRenamed("__number", name)
-    return rows, table.select(F.col("__number").alias(name), F.col("__id").alias("doc_id"))
+    dealt = pairs.distinct().repartitionByRange(n_partitions(docs.sparkSession), id_, h0, h1).sortWithinPartitions(id_, h0, h1)
+    table = stored(dealt.withColumn(number, F.monotonically_increasing_id()), "numbers")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (h[0] == F.col(h0)) & (h[1] == F.col(h1))
+    rows = docs.join(table, same).drop(id_, h0, h1).withColumnRenamed(number, name)
+    return rows, table.select(F.col(number).alias(name), F.col(id_).alias("doc_id"))
 
 
 def let(value: Column, body) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import let, lower_ascii, numbered, stored
+from corvane.llm.common import fresh, let, lower_ascii, numbered, stored
 
 WORDS, SHARE = 3, 85
 CHUNKS, WIDTH, ERRORS, BITS = 8, 6, 1, 16
@@ -236,13 +236,14 @@ def _placed(docs: DataFrame, words: int, share: int, chunks: int, width: int) ->
 
 def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE, chunks: int = CHUNKS, width: int = WIDTH) -> DataFrame:
     """The rows of docs without the near-duplicates of a document with a smaller doc_id; repeated rows leave one. The parameters are those of near_components."""
-    rows, _ = numbered(docs, "__near_key")
-    placed = _placed(rows.select(F.col("__near_key").alias("k"), "text"), words, share, chunks, width)
-    result = stored(placed.select(F.col("k").alias("__near_gone"), (F.col("k") == F.col("comp")).alias("kept")), "near")
-    gone = result.where("not kept").select("__near_gone")
-    rest = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("__near_key") == F.col("__near_gone"), "left_anti")
-    if result.where("kept").groupBy("__near_gone").count().where("count > 1").take(1):
-        rest = rest.dropDuplicates(["__near_key"])
+    key, gone_key = fresh(docs, "near_key"), fresh(docs, "near_gone")
+    rows, _ = numbered(docs, key)
+    placed = _placed(rows.select(F.col(key).alias("k"), "text"), words, share, chunks, width)
+    result = stored(placed.select(F.col("k").alias(gone_key), (F.col("k") == F.col("comp")).alias("kept")), "near")
+    gone = result.where("not kept").select(gone_key)
+    rest = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(key) == F.col(gone_key), "left_anti")
+    if result.where("kept").groupBy(gone_key).count().where("count > 1").take(1):
+        rest = rest.dropDuplicates([key])
     return rest.select(*docs.columns)
 
 
