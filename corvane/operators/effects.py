@@ -1,7 +1,14 @@
-"""Sequential signal effects on packed signals (signal_id, x array), in Arrow batches: what feeds its output back can't be a window."""
+"""Sequential signal effects on packed signals (signal_id, x array), in Arrow batches: what feeds its output back can't be a window.
+
+The signals of a batch are handled together, a row of a matrix each: a time step is one
+vector operation over all of them. Every effect is causal, so the zeros that fill up
+shorter signals change nothing.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,124 +18,221 @@ K_WEIGHTING = (
     ((1.53512485958697, -2.69169618940638, 1.19839281085285), (1.0, -1.69065929318241, 0.73248077421585)),
     ((1.0, -2.0, 1.0), (1.0, -1.99004745483398, 0.99007225036621)),
 )
+#: Delays in samples of the parallel combs and of the all-passes behind them (fixed values).
+COMBS, ALL_PASSES = (1557, 1617, 1491, 1422, 1277, 1356, 1188, 1116), (225, 556, 441, 341)
+#: Numbers of a matrix that signals are handled together in.
+MATRIX = 1 << 20
 
 
-def _each(packed: DataFrame, f) -> DataFrame:
-    """Applies f (numpy array -> numpy array) to every x; null and empty stay as they are."""
+def together(packed: DataFrame, f) -> DataFrame:
+    """Applies f (matrix of signals x samples, lengths -> matrix) to the x of packed; null and empty ones stay as they are."""
 
     def run(batches):
         for b in batches:
-            out = [x if not x else f(np.asarray(x, float)).tolist() for x in b.column("x").to_pylist()]
+            lists = b.column("x").to_pylist()
+            full = sorted((i for i, x in enumerate(lists) if x), key=lambda i: len(lists[i]))
+            out: list = list(lists)
+            start = 0
+            while start < len(full):
+                stop = start + 1
+                while stop < len(full) and (stop - start + 1) * len(lists[full[stop]]) <= MATRIX:
+                    stop += 1
+                group = full[start:stop]
+                lengths = np.array([len(lists[i]) for i in group])
+                x = np.zeros((len(group), lengths.max()))
+                for row, i in enumerate(group):
+                    x[row, : lengths[row]] = lists[i]
+                y = f(x, lengths)
+                for row, i in enumerate(group):
+                    out[i] = y[row, : lengths[row]].tolist()
+                start = stop
             yield pa.RecordBatch.from_arrays([b.column("signal_id"), pa.array(out, pa.list_(pa.float64()))], names=["signal_id", "x"])
 
     return packed.select("signal_id", "x").mapInArrow(run, "signal_id long, x array<double>")
 
 
 def lfilter(b, a, x: np.ndarray) -> np.ndarray:
-    """Direct form: a[0] y[n] = sum b[j] x[n-j] - sum a[j] y[n-j]."""
+    """Direct form along the last axis: a[0] y[n] = sum b[j] x[n-j] - sum a[j] y[n-j]."""
     b, a = np.asarray(b, float) / a[0], np.asarray(a, float) / a[0]
-    v = np.convolve(x, b)[: len(x)].tolist()
-    past = [0.0] * (len(a) - 1)
-    for n, s in enumerate(v):
-        for j, p in enumerate(past):
-            s -= a[j + 1] * p
-        v[n] = s
-        if past:
-            past = [s, *past[:-1]]
-    return np.array(v)
+    y = np.zeros(np.shape(x))
+    for j, c in enumerate(b[: y.shape[-1]]):
+        y[..., j:] += c * x[..., : y.shape[-1] - j]
+    for n in range(1, y.shape[-1]):
+        for j in range(1, min(len(a), n + 1)):
+            y[..., n] -= a[j] * y[..., n - j]
+    return y
+
+
+def k_weighted(x: np.ndarray) -> np.ndarray:
+    for b, a in K_WEIGHTING:
+        x = lfilter(b, a, x)
+    return x
 
 
 def iir(packed: DataFrame, b, a) -> DataFrame:
-    return _each(packed, lambda x: lfilter(b, a, x))
+    return together(packed, lambda x, _: lfilter(b, a, x))
 
 
 def k_weighting(packed: DataFrame) -> DataFrame:
-    def f(x):
-        for b, a in K_WEIGHTING:
-            x = lfilter(b, a, x)
-        return x
+    return together(packed, lambda x, _: k_weighted(x))
+
 
-    return _each(packed, f)
+def from_db(db: float) -> float:
+    return 10 ** (db / 20)
 
 
-def compressor(packed: DataFrame, threshold: float, ratio: float, attack: float, release: float, makeup: float = 1.0) -> DataFrame:
-    """One-pole level follower; above threshold the gain is (level / threshold)^(1 / ratio - 1)."""
+def compressor(packed: DataFrame, threshold: float = -20.0, ratio: float = 4.0, attack: float = 0.005, release: float = 0.05, makeup: float = 0.0, sample_rate: int = 44100) -> DataFrame:
+    """A level follower with attack and release in seconds; above the threshold (decibels, as makeup) the gain is (level / threshold)^(1 / ratio - 1)."""
+    limit, gain = from_db(threshold), from_db(makeup)
+    speed = [1 - math.exp(-1 / n) if (n := int(s * sample_rate)) else 1.0 for s in (attack, release)]
 
-    def f(x):
-        level, out = 0.0, np.empty_like(x)
-        for n, v in enumerate(x):
-            c = attack if abs(v) > level else release
-            level = c * level + (1 - c) * abs(v)
-            out[n] = v * makeup * ((level / threshold) ** (1 / ratio - 1) if level > threshold else 1.0)
+    def f(x, _):
+        level, out = np.zeros(len(x)), np.empty_like(x)
+        for n in range(x.shape[1]):
+            size = np.abs(x[:, n])
+            level = level + np.where(size > level, speed[0], speed[1]) * (size - level)
+            out[:, n] = x[:, n] * gain * np.where(level > limit, (np.maximum(level, limit) / limit) ** (1 / ratio - 1), 1.0)
         return out
 
-    return _each(packed, f)
+    return together(packed, f)
+
+
+def echo(x: np.ndarray, delay: int, feedback: float) -> np.ndarray:
+    """e[n] = x[n - delay] + feedback e[n - delay], a block of `delay` samples at a time."""
+    out = np.zeros_like(x)
+    for at in range(delay, x.shape[1], delay):
+        size = min(delay, x.shape[1] - at)
+        out[:, at : at + size] = x[:, at - delay : at - delay + size] + feedback * out[:, at - delay : at - delay + size]
+    return out
+
+
+def feedback_delay(packed: DataFrame, samples: int, feedback: float, dry: float, wet: float) -> DataFrame:
+    """dry x[n] + wet times all echoes, sum_k feedback^(k-1) x[n - k samples]."""
+    if samples < 1:
+        raise ValueError("a delay has at least one sample")
+    return together(packed, lambda x, _: dry * x + wet * echo(x, samples, feedback))
 
 
 def comb(x: np.ndarray, delay: int, feedback: float, damping: float) -> np.ndarray:
-    line, low, out = np.zeros(delay), 0.0, np.empty_like(x)
-    for n, v in enumerate(x):
-        y = line[n % delay]
-        low = y * (1 - damping) + low * damping
-        line[n % delay] = v + low * feedback
-        out[n] = y
+    """A delay line that feeds back, and gives out, what a one-pole filter leaves of it."""
+    line, low, out = np.zeros((len(x), delay)), np.zeros(len(x)), np.empty_like(x)
+    for n in range(x.shape[1]):
+        low = line[:, n % delay] * (1 - damping) + low * damping
+        line[:, n % delay] = x[:, n] + low * feedback
+        out[:, n] = low
     return out
 
 
 def all_pass(x: np.ndarray, delay: int, gain: float = 0.5) -> np.ndarray:
-    line, out = np.zeros(delay), np.empty_like(x)
-    for n, v in enumerate(x):
-        y = line[n % delay]
-        line[n % delay] = v + y * gain
-        out[n] = y - v
+    """y = (1 + gain) line - gain x; x + gain y enters the line. A block of `delay` samples at a time."""
+    out, line = np.empty_like(x), np.zeros((len(x), delay))
+    for at in range(0, x.shape[1], delay):
+        block = x[:, at : at + delay]
+        size = block.shape[1]
+        out[:, at : at + size] = (1 + gain) * line[:, :size] - gain * block
+        line[:, :size] = block + gain * out[:, at : at + size]
     return out
 
 
-#: Delays in samples of the parallel combs and of the all-passes behind them (fixed values).
-COMBS, ALL_PASSES = (1557, 1617, 1491, 1422, 1277, 1356, 1188, 1116), (225, 556, 441, 341)
-
+def reverb(packed: DataFrame, room: float = 0.8, damping: float = 0.5, wet: float = 0.3, dry: float = 0.7, combs=COMBS, all_passes=ALL_PASSES) -> DataFrame:
+    """The sum of damped combs through all-passes, beside the dry signal; parameters are clamped to 0..1."""
+    room, damping, wet, dry = (min(max(v, 0.0), 1.0) for v in (room, damping, wet, dry))
 
-def reverb(packed: DataFrame, room: float, damping: float, wet: float, combs=COMBS, all_passes=ALL_PASSES) -> DataFrame:
-    def f(x):
-        y = sum(comb(x, d, 0.84 * room, damping) for d in combs) / len(combs)
+    def f(x, _):
+        y = sum(comb(x, d, 0.84 * room, damping) for d in combs)
         for d in all_passes:
             y = all_pass(y, d)
+        return dry * x + wet * y
+
+    return together(packed, f)
+
+
+def _phase(lengths: np.ndarray, width: int, rate: float, sample_rate: float) -> np.ndarray:
+    """2 pi rate t, t over 0..duration with both ends, for each signal."""
+    t = np.arange(width) * (lengths / sample_rate / np.maximum(lengths - 1, 1))[:, None]
+    return 2 * np.pi * rate * t
+
+
+def _line(x: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """What a delay line of `size` cells holds in cell at[n] before x[n] enters: x[n - 1 - at[n]]; the last cells are read as zero beyond the line."""
+    n = np.arange(x.shape[1]) - 1 - at
+    ok = (n >= 0) & (at < size)
+    return np.where(ok, np.take_along_axis(x, np.maximum(n, 0), 1), 0.0)
+
+
+def chorus(packed: DataFrame, voices: int = 3, base_delay: float = 0.03, rate_spread: float = 0.2, depth_spread: float = 0.003, wet: float = 0.5, sample_rate: int = 44100) -> DataFrame:
+    """Voices with slowly swinging fractional delays, averaged. Nothing feeds back, so every sample is gathered at once."""
+
+    def f(x, lengths):
+        total = np.zeros_like(x)
+        for v in range(voices):
+            rate = 0.5 + rate_spread * (v - voices // 2) / voices
+            most = int((base_delay + 0.005 * v + 0.002 + depth_spread * v / voices) * sample_rate)
+            delay = most * 0.5 * (1 + np.sin(_phase(lengths, x.shape[1], rate, sample_rate) + v * np.pi / voices))
+            k = np.floor(delay).astype(int)
+            part = delay - k
+            total += (1 - part) * _line(x, k, most + 1) + part * _line(x, k + 1, most + 1)
+        return (1 - wet) * x + wet * total / voices
+
+    return together(packed, f)
+
+
+def flanger(packed: DataFrame, rate: float = 0.5, depth: float = 0.002, feedback: float = 0.7, wet: float = 0.7, sample_rate: int = 44100) -> DataFrame:
+    """A swinging delay of up to depth seconds, read between samples, whose output feeds back."""
+    most = int(depth * sample_rate)
+
+    def f(x, lengths):
+        delay = most * 0.5 * (1 + np.sin(_phase(lengths, x.shape[1], rate, sample_rate)))
+        k = np.floor(delay).astype(int)
+        part, rows = delay - k, np.arange(len(x))
+        line, out = np.zeros((len(x), x.shape[1])), np.empty_like(x)
+        for n in range(x.shape[1]):
+            one, two = n - 1 - k[:, n], n - 2 - k[:, n]
+            a = np.where(one >= 0, line[rows, np.maximum(one, 0)], 0.0)
+            b = np.where((two >= 0) & (k[:, n] < most), line[rows, np.maximum(two, 0)], 0.0)
+            out[:, n] = a * (1 - part[:, n]) + b * part[:, n]
+            line[:, n] = x[:, n] + feedback * out[:, n]
+        return (1 - wet) * x + wet * out
+
+    return together(packed, f)
+
+
+def phaser(packed: DataFrame, rate: float = 0.5, stages: int = 6, depth: float = 0.8, feedback: float = 0.7, wet: float = 0.7, sample_rate: int = 44100, low: float = 200.0, high: float = 1600.0) -> DataFrame:
+    """A cascade of first-order stages whose frequency swings; the last output goes on from a stage to the next."""
+
+    def f(x, lengths):
+        swing = depth * np.sin(_phase(lengths, x.shape[1], rate, sample_rate))
+        y, last = x, np.zeros(len(x))
+        ends = [np.flatnonzero(lengths == n + 1) for n in range(x.shape[1])]
+        for stage in range(stages):
+            alpha = np.tan(np.pi * low * (high / low) ** ((stage + 1) / stages) * (1 + swing) / sample_rate)
+            c, out, carried = (alpha - 1) / (alpha + 1), np.empty_like(x), np.zeros(len(x))
+            for n in range(x.shape[1]):
+                last = c[:, n] * (y[:, n] + feedback * last) + last
+                out[:, n] = last
+                carried[ends[n]] = last[ends[n]]
+            y, last = out, carried  # of each signal's own last sample
         return (1 - wet) * x + wet * y
 
-    return _each(packed, f)
+    return together(packed, f)
 
 
-def flanger(packed: DataFrame, rate: float, depth: float, delay: float, feedback: float, wet: float, sample_rate: int) -> DataFrame:
-    """Delay of delay (1 + depth sin) seconds with feedback, read between samples."""
-
-    def f(x):
-        size = int(delay * (1 + depth) * sample_rate) + 2
-        line, out = np.zeros(size), np.empty_like(x)
-        for n, v in enumerate(x):
-            d = delay * sample_rate * (1 + depth * np.sin(2 * np.pi * rate * n / sample_rate))
-            k, part = int(d), d - int(d)
-            y = (1 - part) * line[(n - k) % size] + part * line[(n - k - 1) % size]
-            line[n % size] = v + feedback * y
-            out[n] = (1 - wet) * v + wet * y
-        return out
-
-    return _each(packed, f)
+def pitch_shift(packed: DataFrame, semitones: float = 12.0, window: int = 2048, wet: float = 1.0) -> DataFrame:
+    """Moves each spectral bin k to floor(k 2^(s/12)), at most the last; magnitudes and phases that meet are summed."""
+    from corvane.operators.spectra import istft_array, stft_array
 
+    def one(x):
+        spec = stft_array(x, window, window // 4)
+        to = np.minimum((np.arange(spec.shape[1]) * 2 ** (semitones / 12)).astype(int), spec.shape[1] - 1)
+        size, phase = np.zeros(spec.shape), np.zeros(spec.shape)
+        np.add.at(size, (slice(None), to), np.abs(spec))
+        np.add.at(phase, (slice(None), to), np.angle(spec))
+        return (1 - wet) * x + wet * istft_array(size * np.exp(1j * phase), window, window // 4, len(x))
 
-def pitch_shift(packed: DataFrame, semitones: float, window: int = 64, hop: int = 16) -> DataFrame:
-    """Moves each spectral bin k to floor(k 2^(s/12)), summing what meets, and overlaps the inverse frames."""
-
-    def f(x):
-        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
-        padded = np.pad(x, (window, 2 * window))
-        out, cover = np.zeros(len(padded)), np.zeros(len(padded))
-        for at in range(0, len(padded) - window + 1, hop):
-            spec = np.fft.rfft(padded[at : at + window] * w)
-            to = np.minimum((np.arange(len(spec)) * 2 ** (semitones / 12)).astype(int), len(spec) - 1)
-            moved = np.zeros(len(spec), complex)
-            np.add.at(moved, to, spec)
-            out[at : at + window] += np.fft.irfft(moved, window) * w
-            cover[at : at + window] += w * w
-        return (out / np.maximum(cover, 1e-9))[window : window + len(x)]
+    def f(x, lengths):
+        out = np.zeros_like(x)
+        for i, n in enumerate(lengths):
+            out[i, :n] = one(x[i, :n])
+        return out
 
-    return _each(packed, f)
+    return together(packed, f)

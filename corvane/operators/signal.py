@@ -147,14 +147,6 @@ def high_pass_taps(cutoff: float, size: int = 51) -> list[float]:
     return [x / total for x in h]
 
 
-def feedback_delay(signal: DataFrame, samples: int, feedback: float, dry: float, wet: float, repeats: int) -> DataFrame:
-    """dry x[n] + wet sum_k feedback^(k-1) x[n - k samples], k up to repeats."""
-    out = F.lit(dry) * F.col("x")
-    for k in range(1, repeats + 1):
-        out = out + F.lit(wet * feedback ** (k - 1)) * F.lag("x", k * samples, 0).over(by_n())
-    return signal.select("signal_id", "n", out.alias("x"))
-
-
 def tremolo(signal: DataFrame, rate: float, depth: float, seconds: float) -> DataFrame:
     """x (1 - d + d sin(2 pi r t)), t over 0..seconds with both ends."""
     t = F.col("n") * seconds / (F.col("len") - 1)
@@ -165,24 +157,6 @@ def distortion(x: Column, amount: float, mix: float) -> Column:
     return (1 - mix) * x + mix * F.tanh(x * (1 + 10 * amount))
 
 
-def resample(signal: DataFrame, source: int, target: int, align: bool = False) -> DataFrame:
-    """Linear resampling to floor(len * target / source) samples.
-
-    Output i lies at i * source / target, with align at i * (len - 1) / (new - 1); the
-    last sample is held. Done on packed signals: a signal is one row.
-    """
-    new = F.floor(F.size("x") * target / source).cast("int")
-    last = F.size("x") - 1
-
-    def at(i: Column) -> Column:
-        pos = i * last / F.greatest(new - 1, F.lit(1)) if align else i * F.lit(source) / F.lit(target)
-        k = F.least(F.floor(pos).cast("int"), last)
-        a, b = F.get("x", k), F.get("x", F.least(k + 1, last))
-        return a + (b - a) * (pos - k)
-
-    return unpack(pack(signal).where(new > 0).select("signal_id", F.transform(F.sequence(F.lit(0), new - 1), at).alias("x")))
-
-
 def layer_norm(signal: DataFrame, eps: float = 1e-5) -> DataFrame:
     mean, var = F.avg("x").over(whole()), F.var_pop("x").over(whole())
     return signal.select("signal_id", "n", ((F.col("x") - mean) / F.sqrt(var + eps)).alias("x"))
@@ -201,3 +175,43 @@ def gated_block_energy(signal: DataFrame, size: int, hop: int, floor: int, ratio
     w = Window.partitionBy("signal_id")
     gated = blocks.withColumns({"s": F.sum("e").over(w), "c": F.count("*").over(w)}).where(F.col("e") * F.col("c") * ratio > F.col("s"))
     return gated.groupBy("signal_id").agg(F.count("*").alias("blocks"), F.sum("e").alias("energy"))
+
+
+def wave(spark, shape: str, frequency: float, seconds: float, samples: int, signal_id: int = 0) -> DataFrame:
+    """A sine, square, sawtooth or triangle over 0..seconds, both ends included; an unknown shape raises."""
+    p = F.col("id") * (seconds / max(1, samples - 1)) * frequency
+    saw = 2 * (p - F.floor(p + 0.5))
+    shapes = {"sine": F.sin(2 * F.pi() * p), "square": F.signum(F.sin(2 * F.pi() * p)), "sawtooth": saw, "triangle": 2 * F.abs(saw) - 1}
+    if shape not in shapes:
+        raise ValueError(f"unknown shape: {shape}")
+    return spark.range(samples).select(F.lit(signal_id).cast("long").alias("signal_id"), F.col("id").alias("n"), shapes[shape].alias("x"))
+
+
+def zeros(spark, samples: int, signals: int = 1) -> DataFrame:
+    return spark.range(samples * signals).select(F.floor(F.col("id") / samples).alias("signal_id"), (F.col("id") % samples).alias("n"), F.lit(0.0).alias("x"))
+
+
+def batch(signal: DataFrame, how: str = "raise") -> DataFrame:
+    """Signals of one length: the shorter ones padded with zeros, the longer ones truncated, or an error if they differ."""
+    sizes = signal.groupBy("signal_id").agg((F.max("n") + 1).alias("len"))
+    ends = sizes.agg(F.min("len").alias("least"), F.max("len").alias("most"))
+    if how == "truncate":
+        return signal.join(F.broadcast(ends), F.col("n") < F.col("least")).select(*signal.columns)  # one row
+    if how == "pad":
+        fill = sizes.join(F.broadcast(ends), F.col("len") < F.col("most")).select("signal_id", F.explode(F.sequence("len", F.col("most") - 1)).alias("n"), F.lit(0).cast(signal.schema["x"].dataType).alias("x"))
+        return signal.select("signal_id", "n", "x").unionAll(fill)
+    if how != "raise":
+        raise ValueError(f"unknown way: {how}")
+    row = ends.first()
+    if row["least"] != row["most"]:
+        raise ValueError(f"signals have from {row['least']} to {row['most']} samples: pad or truncate them")
+    return signal
+
+
+def same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables have the same rows, as often."""
+    return not a.exceptAll(b).take(1) and not b.exceptAll(a).take(1)
+
+
+def select_signals(signal: DataFrame, ids: list[int]) -> DataFrame:
+    return signal.where(F.col("signal_id").isin(ids))

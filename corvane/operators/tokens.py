@@ -81,12 +81,15 @@ def hashed_uniform(key: Column) -> Column:
 
 
 def quantized_cdf(counts: DataFrame, bits: int = 12, least: int = 2) -> DataFrame:
-    """counts (symbol, n) -> symbol, width, low, high: whole ranges of a distribution scaled to 2^bits less the least widths."""
+    """counts (symbol, n) -> symbol, width, low, high: whole ranges of a distribution scaled to 2^bits less the least widths. More symbols than have room, or a negative count, fail the query."""
+    if least < 1 or not 0 < bits <= 30:
+        raise ValueError("least must be positive and bits from 1 to 30")
     all_ = counts.agg(F.sum("n").alias("total"), F.count("*").alias("symbols"))
     scale = F.lit(1 << bits) - F.col("symbols") * least
     width = F.expr(f"n * ({1 << bits} - symbols * {least}) div total + {least}")
     w = Window.orderBy("symbol")  # a row for each symbol of the alphabet
-    out = counts.join(F.broadcast(all_)).where(scale > 0).select("symbol", width.alias("width"))
+    fits = (scale > 0) & (F.col("total") > 0) & (F.col("n") >= 0)
+    out = counts.join(F.broadcast(all_)).select("symbol", F.when(fits, width).otherwise(F.raise_error(F.lit("the symbols don't fit the range")).cast("bigint")).alias("width"))
     high = F.sum("width").over(w)
     return out.select("symbol", "width", (high - F.col("width")).alias("low"), high.alias("high"))
 
@@ -105,3 +108,43 @@ def unpack_bits(packed: DataFrame, bits: int) -> DataFrame:
     each = each.withColumn("at", F.col("byte") * 8 + F.col("k")).withColumn("pos", F.floor(F.col("at") / bits))
     bit = F.expr("shiftright(value, k)").bitwiseAND(1) * F.expr(f"shiftleft(1, cast(at - pos * {bits} as int))")
     return each.groupBy("stream", "pos").agg(F.sum(bit).cast("int").alias("code"), F.count("*").alias("n")).where(F.col("n") == bits).drop("n")
+
+
+def fill_grid(grid: DataFrame, new: DataFrame, only_open: bool = True, open_token: int = -1, keys=("b",)) -> DataFrame:
+    """grid (b, t, c, token) with the tokens of new written in; with only_open where the grid still has open_token."""
+    joined = grid.join(new.withColumnRenamed("token", "fresh"), [*keys, "t", "c"], "left")
+    take = F.col("fresh").isNotNull() & ((F.col("token") == open_token) if only_open else F.lit(True))
+    return joined.withColumn("token", F.when(take, F.col("fresh")).otherwise(F.col("token"))).select(*keys, "t", "c", "token")
+
+
+def open_grid(spark, batch: int, steps: int, channels: int, open_token: int = -1) -> DataFrame:
+    """b, t, c, token: a grid of open_token."""
+    cell = F.col("id")
+    return spark.range(batch * steps * channels).select(F.floor(cell / (steps * channels)).alias("b"), F.floor(F.pmod(cell, F.lit(steps * channels)) / channels).alias("t"), F.pmod(cell, F.lit(channels)).cast("int").alias("c"), F.lit(open_token).alias("token"))
+
+
+def choose(options: DataFrame, key: Column, groups: str = "grp") -> DataFrame:
+    """One row for each key (grp, weight, item): a group by its weight, then an item of it evenly, by two hashed numbers of key.
+
+    options has (key, grp, weight, item); the weights of a group's rows are equal.
+    """
+    one = options.groupBy("key", groups).agg(F.max("weight").alias("weight"), F.sort_array(F.collect_list("item")).alias("items"))
+    w = Window.partitionBy("key").orderBy(groups)
+    ran = one.withColumns({"run": F.sum("weight").over(w), "all": F.sum("weight").over(Window.partitionBy("key"))}).withColumn("u", hashed_uniform(F.concat_ws(":", key.cast("string"), F.lit("group"))))
+    hit = ran.where(F.col("run") > F.col("u") * F.col("all")).groupBy("key").agg(F.min_by(F.struct(groups, "items"), groups).alias("g"))
+    index = F.floor(hashed_uniform(F.concat_ws(":", key.cast("string"), F.lit("item"))) * F.size("g.items")).cast("int")
+    return hit.select("key", F.col(f"g.{groups}").alias(groups), F.get("g.items", index).alias("item"))
+
+
+def sample_distribution(key: Column, kind: str, *parameters: float) -> Column:
+    """A number drawn for key: const(value), uniform(low, high) or normal(mean, std), from hashed numbers (Box-Muller)."""
+    u = lambda name: hashed_uniform(F.concat_ws(":", key.cast("string"), F.lit(name)))
+    if kind == "const":
+        return F.lit(float(parameters[0]))
+    if kind == "uniform":
+        low, high = parameters
+        return low + (high - low) * u("u")
+    if kind == "normal":
+        mean, std = parameters
+        return mean + std * F.sqrt(-2 * F.log(1 - u("a"))) * F.cos(2 * F.pi() * u("b"))
+    raise ValueError(f"unknown distribution: {kind}")

@@ -15,23 +15,50 @@ from pyspark.sql import functions as F
 MAX_CODEBOOK = 4_000_000
 
 
-def codebook_row(codes: DataFrame) -> DataFrame:
-    """(code, vec) -> one row with codebook, an array of (code, vec) in order of code; raises beyond MAX_CODEBOOK numbers."""
+def check_codebook(codes: DataFrame) -> DataFrame:
+    """codes, which must have at most MAX_CODEBOOK numbers."""
     size = codes.agg(F.sum(F.size("vec")).alias("n")).first()["n"] or 0
     if size > MAX_CODEBOOK:
         raise ValueError(f"the codebook has {size} numbers; at most {MAX_CODEBOOK} are broadcast")
-    return codes.agg(F.sort_array(F.collect_list(F.struct("code", "vec"))).alias("codebook"))
+    return codes
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda s, v: s + v)
+def nearest(vectors: DataFrame, codes: DataFrame) -> DataFrame:
+    """vectors (id, vec) with code, dist and residual of the nearest code (whole numbers); ties go to the lowest code.
 
+    The codebook is bounded (checked) and goes to every task; a batch's distances to all
+    codes are one matrix product. Products of whole numbers under 2^26 are exact; where
+    they could be larger, exact integers are used.
+    """
+    import numpy as np
+    import pyarrow as pa
 
-def nearest(vectors: DataFrame, codes: DataFrame) -> DataFrame:
-    """vectors (id, vec) with code, dist and residual of the nearest code (whole numbers); ties go to the lowest code."""
-    rows = vectors.join(F.broadcast(codebook_row(codes)))  # one row
-    best = F.array_min(F.transform("codebook", lambda c: F.struct(distance(F.col("vec"), c["vec"]).alias("dist"), c["code"].alias("code"), c["vec"].alias("vec"))))
-    return rows.withColumn("b", best).select("id", "vec", F.col("b.code").alias("code"), F.col("b.dist").alias("dist"), F.zip_with("vec", "b.vec", lambda x, y: x - y).alias("residual"))
+    book = sorted((int(r["code"]), r["vec"]) for r in check_codebook(codes.select("code", "vec")).collect())  # at most MAX_CODEBOOK numbers
+    names, table = np.array([c for c, _ in book], np.int64), np.array([v for _, v in book], np.int64).reshape(len(book), -1)
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            vecs = np.array(b.column("vec").to_pylist(), np.int64).reshape(n, -1) if n else np.zeros((0, table.shape[1]), np.int64)
+            most = max(int(np.abs(x).max(initial=0)) for x in (vecs, table))
+            code, dist = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            step = max(1, (1 << 22) // max(1, len(names)))
+            for k in range(0, n, step):
+                part = vecs[k : k + step]
+                if most * most * max(1, table.shape[1]) * 4 < 1 << 53:
+                    cross = np.rint(part.astype(float) @ table.T.astype(float)).astype(np.int64)
+                else:
+                    cross = part @ table.T
+                d = (part * part).sum(1)[:, None] + (table * table).sum(1) - 2 * cross
+                best = d.argmin(1)  # the first of equal ones: the lowest code
+                code[k : k + step], dist[k : k + step] = best, d[np.arange(len(part)), best]
+            residual = pa.array((vecs - table[code]).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(names[code]), pa.array(dist), residual], names=["id", "vec", "code", "dist", "residual"])
+
+    id_ = vectors.schema["id"].dataType.simpleString()
+    if not book:
+        raise ValueError("the codebook is empty")
+    return vectors.select("id", F.col("vec").cast("array<bigint>").alias("vec")).mapInArrow(run, f"id {id_}, vec array<bigint>, code long, dist long, residual array<bigint>")
 
 
 def residual_quantize(vectors: DataFrame, stages: list[DataFrame]) -> DataFrame:
@@ -47,7 +74,7 @@ def dequantize(coded: DataFrame, stages: list[DataFrame]) -> DataFrame:
     """Sum of the stages' code vectors: (id, codes) -> (id, vec)."""
     rows = coded
     for k, codes in enumerate(stages):
-        rows = rows.join(F.broadcast(codes.select(F.col("code").cast("long").alias(f"c{k}"), F.col("vec").alias(f"v{k}"))), F.get("codes", F.lit(k)) == F.col(f"c{k}"), "left")
+        rows = rows.join(F.broadcast(check_codebook(codes).select(F.col("code").cast("long").alias(f"c{k}"), F.col("vec").alias(f"v{k}"))), F.get("codes", F.lit(k)) == F.col(f"c{k}"), "left")
     total = F.col("v0")
     for k in range(1, len(stages)):
         total = F.zip_with(total, F.col(f"v{k}"), lambda x, y: x + y)
@@ -55,17 +82,55 @@ def dequantize(coded: DataFrame, stages: list[DataFrame]) -> DataFrame:
 
 
 def kmeans(vectors: DataFrame, codes: DataFrame, rounds: int) -> DataFrame:
-    """Lloyd rounds on whole numbers: means are cut to whole numbers, empty clusters keep their vector. (code, vec, size)."""
+    """(code, vec, size): Lloyd rounds from the vectors in codes; empty clusters keep their vector. Means are rounded to whole numbers (half up); sizes are those of a last assignment to the final vectors."""
     rows = vectors.select("id", "vec")
-    size = None
     for _ in range(rounds):
         hit = nearest(rows, codes).select("code", F.posexplode("vec").alias("d", "v"))
-        mean = hit.groupBy("code", "d").agg(F.expr("sum(v) div count(*)").alias("m"), F.count("*").alias("size"))
-        new = mean.groupBy("code").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("new"), F.max("size").alias("size"))
-        codes = codes.select("code", "vec").join(new, "code", "left").select("code", F.coalesce("new", "vec").alias("vec"), F.coalesce("size", F.lit(0).cast("long")).alias("size"))
-        codes = codes.sparkSession.createDataFrame(codes.collect(), codes.schema)  # at most MAX_CODEBOOK numbers
-        size = codes
-    return size
+        mean = hit.groupBy("code", "d").agg(F.expr("cast(floor((2 * sum(v) + count(*)) / (2 * count(*))) as bigint)").alias("m"))
+        new = mean.groupBy("code").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("new"))
+        codes = codes.select("code", "vec").join(new, "code", "left").select("code", F.coalesce("new", "vec").alias("vec"))
+        codes = codes.sparkSession.createDataFrame(check_codebook(codes).collect(), codes.schema)  # at most MAX_CODEBOOK numbers
+    size = nearest(rows, codes).groupBy("code").agg(F.count("*").alias("size"))
+    return codes.select("code", "vec").join(size, "code", "left").fillna(0, ["size"])
+
+
+def sampled(vectors: DataFrame, n: int, seed: int) -> DataFrame:
+    """(r, id, vec): n vectors in an order drawn by seed, r from 0; each again and again if there are fewer."""
+    from pyspark.sql import Window
+
+    order = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
+    first = vectors.select("id", "vec").orderBy(order, "id").limit(n)
+    ranked = first.withColumn("r", (F.row_number().over(Window.orderBy(order, "id")) - 1).cast("long"))  # n rows
+    have = ranked.count()
+    if not have or have >= n:
+        return ranked.select("r", "id", "vec")
+    times = F.sequence(F.lit(0).cast("long"), F.lit(-(-n // have) - 1).cast("long"))
+    return ranked.withColumn("k", F.explode(times)).withColumn("r", F.col("r") + F.col("k") * have).where(F.col("r") < n).select("r", "id", "vec")
+
+
+def init_codebook(vectors: DataFrame, n: int, rounds: int, seed: int, codes: DataFrame | None = None) -> DataFrame:
+    """(code, vec, size): the codebook if there is one, else n sampled vectors after k-means rounds."""
+    if codes is not None and codes.take(1):
+        return codes
+    return kmeans(vectors, sampled(vectors, n, seed).select(F.col("r").alias("code"), "vec"), rounds)
+
+
+def replace_dead(codes: DataFrame, vectors: DataFrame, seed: int, least: float = 2.0) -> DataFrame:
+    """codes (code, vec, size) with the vectors of codes under `least` replaced by sampled ones, whose sizes become `least`; replaced tells which."""
+    from pyspark.sql import Window
+
+    n = check_codebook(codes).count()
+    ranked = codes.withColumn("dead", F.col("size") < least).withColumn("r", (F.row_number().over(Window.partitionBy("dead").orderBy("code")) - 1).cast("long"))
+    pool = sampled(vectors, n, seed).select("r", F.col("vec").alias("new"))
+    out = ranked.join(F.broadcast(pool), "r", "left")
+    hit = F.col("dead") & F.col("new").isNotNull()
+    return out.select("code", F.when(hit, F.col("new")).otherwise(F.col("vec")).alias("vec"), F.when(hit, F.lit(least)).otherwise(F.col("size").cast("double")).alias("size"), hit.alias("replaced"))
+
+
+def embedding_sum(grid: DataFrame, tables: DataFrame) -> DataFrame:
+    """(b, t, c, token) and tables (c, token, vec) -> b, t, vec: the sum of the channels' vectors; a token without one adds nothing."""
+    cells = grid.join(F.broadcast(check_codebook(tables)), ["c", "token"]).select("b", "t", F.posexplode("vec").alias("d", "v"))
+    return cells.groupBy("b", "t", "d").agg(F.sum("v").alias("v")).groupBy("b", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("vec"))
 
 
 def ema_update(codes: DataFrame, batch: DataFrame, decay: float, eps: float = 1e-5) -> DataFrame:
@@ -117,7 +182,7 @@ def spectrum(frames: DataFrame, window: str = "ones") -> DataFrame:
 
 
 def mel_weights(n_mels: int, bins: int, rate: float, low: float = 0.0, high: float | None = None) -> list[tuple[int, int, float]]:
-    """(mel, bin, weight) of triangular filters on the HTK mel scale; zero weights are left out."""
+    """(mel, bin, weight) of triangular filters of equal area on the HTK mel scale; zero weights are left out."""
     mel = lambda f: 2595.0 * math.log10(1 + f / 700.0)
     high = rate / 2 if high is None else high
     points = [700.0 * (10 ** ((mel(low) + (mel(high) - mel(low)) * i / (n_mels + 1)) / 2595.0) - 1) for i in range(n_mels + 2)]
@@ -128,7 +193,7 @@ def mel_weights(n_mels: int, bins: int, rate: float, low: float = 0.0, high: flo
             f = rate / 2 * k / (bins - 1)
             w = max(0.0, min((f - a) / (c - a), (z - f) / (z - c)))
             if w > 0:
-                out.append((m, k, w))
+                out.append((m, k, w * 2 / (z - a)))
     return out
 
 

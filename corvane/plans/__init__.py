@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from corvane.plans import catalog, signals, tokens, vectors
+from corvane.plans import audio, catalog, signals, tokens, vectors
 
-MODULES = [signals, vectors, tokens, catalog]
+MODULES = [signals, audio, vectors, tokens, catalog]
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import scalar as S
+from corvane.operators import resampling as rs
 from corvane.operators import signal as sig
 
 SIG = "sig as (select user_id as signal_id, row_number() over (partition by user_id order by ts) - 1 as n, cast(round(value * 100) as bigint) as x from events), len as (select signal_id, count(*) as len from sig group by 1)"
@@ -154,11 +155,6 @@ def high_pass(spark, d):
     return sig.fir(events(spark, d), sig.high_pass_taps(0.1), 25).withColumn("x", F.round("x", 4))
 
 
-@query("feedback_delay", f"with {SIG} select signal_id, n, round(0.5::double * x + " + " + ".join(f"{0.5 * 0.5 ** (k - 1)}::double * coalesce(lag(x, {7 * k}) over w, 0)" for k in range(1, 6)) + ", 4) as x from sig window w as (partition by signal_id order by n)")
-def feedback_delay(spark, d):
-    return sig.feedback_delay(events(spark, d), 7, 0.5, 0.5, 0.5, 5).withColumn("x", F.round("x", 4))
-
-
 @query("tremolo", f"with {SIG} select signal_id, n, round(x * (1 - 0.5 + 0.5 * sin(2 * pi() * 3.0 * (n * 2.0::double / (len - 1)))), 5) as x from sig join len using (signal_id)")
 def tremolo(spark, d):
     return sig.tremolo(events(spark, d), 3.0, 0.5, 2.0).withColumn("x", F.round("x", 5))
@@ -175,12 +171,12 @@ def _resampled(pos: str) -> str:
 
 @query("resample_linear", _resampled("i * 2::double / 3::double"))
 def resample_linear(spark, d):
-    return sig.resample(events(spark, d), 2, 3).withColumn("x", F.round("x", 4))
+    return rs.resample_linear(events(spark, d), 2, 3).withColumn("x", F.round("x", 4))
 
 
 @query("resample_aligned", _resampled("i * (len - 1)::double / (m - 1)"))
 def resample_aligned(spark, d):
-    return sig.resample(events(spark, d), 2, 3, True).withColumn("x", F.round("x", 4))
+    return rs.resample_linear(events(spark, d), 2, 3, True).withColumn("x", F.round("x", 4))
 
 
 @query("layer_norm", f"with {SIG} select signal_id, n, round((x - avg(x) over w) / sqrt(var_pop(x) over w + 0.00001), 7) as x from sig window w as (partition by signal_id)")
@@ -210,22 +206,9 @@ def peak_rescale(spark, d):
     return events(spark, d).select("signal_id", "n", F.round(F.col("x") * gain, 5).alias("x"))
 
 
-@query("wave_sine", "select i as n, round(sin(2 * pi() * 5.3 * (i * 1.0::double / 999)), 9) as x, cast(sign(round(sin(2 * pi() * 5.3 * (i * 1.0::double / 999)), 9)) as int) as square from range(0, 1000) t(i)")
-def wave_sine(spark, d):
-    x = F.round(F.sin(2 * F.pi() * 5.3 * (F.col("id") * 1.0 / 999)), 9)
-    return spark.range(1000).select(F.col("id").alias("n"), x.alias("x"), F.signum(x).cast("int").alias("square"))
-
-
-@query("interpolate_asof", f"with {SIG}, g as (select signal_id, n * 10 as xp, x as fp, lead(n * 10) over w as xn, lead(x) over w as fn from sig window w as (partition by signal_id order by n)) select signal_id, xp + k as at, round(fp + coalesce(fn - fp, 0) * (k / 10.0::double), 4) as x from g, (select unnest([0, 3, 7]) as k) where xn is not null or k = 0")
-def interpolate_asof(spark, d):
-    rows = events(spark, d).withColumn("next", F.lead("x").over(sig.by_n()))
-    at = F.explode(F.when(F.col("next").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(3), F.lit(7)))).alias("k")
-    return rows.select("signal_id", "n", "x", "next", at).select("signal_id", (F.col("n") * 10 + F.col("k")).alias("at"), F.round(F.col("x") + F.coalesce(F.col("next") - F.col("x"), F.lit(0)) * (F.col("k") / 10.0), 4).alias("x"))
-
-
-@query("moving_level", "with recursive s as (select user_id as signal_id, row_number() over (partition by user_id order by ts) - 1 as n, cast(round(value * 100) as bigint) as x from events where user_id < 20), r as (select signal_id, n, x, 0.25::double * x as y from s where n = 0 union all select s.signal_id, s.n, s.x, 0.75::double * r.y + 0.25::double * s.x from r join s on s.signal_id = r.signal_id and s.n = r.n + 1) select signal_id, round(max_by(y, n), 4) as level, count(*) as len from r group by 1")
+@query("moving_level", "with recursive s as (select user_id as signal_id, row_number() over (partition by user_id order by ts) - 1 as n, cast(round(value * 100) as bigint) as x from events), r as (select signal_id, n, x, 0.25::double * x as y from s where n = 0 union all select s.signal_id, s.n, s.x, 0.75::double * r.y + 0.25::double * s.x from r join s on s.signal_id = r.signal_id and s.n = r.n + 1) select signal_id, round(max_by(y, n), 4) as level, count(*) as len from r group by 1")
 def moving_level(spark, d):
     """One-pole follower: a fold over each packed signal."""
-    packed = sig.pack(events(spark, d).where("signal_id < 20"))
+    packed = sig.pack(events(spark, d))
     y = F.aggregate("x", F.lit(0.0), lambda s, v: F.lit(0.75) * s + F.lit(0.25) * v)
     return packed.select("signal_id", F.round(y, 4).alias("level"), F.size("x").cast("long").alias("len"))

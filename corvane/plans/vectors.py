@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.operators import attention as att
 from corvane.operators import vectors as vec
 
 QUERIES, ORACLES = {}, {}
@@ -13,6 +14,10 @@ BOOK = "b as (select id as code, d, v from e where id < 16)"
 NEAR = f"{E}, {BOOK}, dist as (select e.id, b.code, sum((e.v - b.v) * (e.v - b.v)) as s from e join b using (d) group by 1, 2), near as (select id, arg_min(code, (s, code)) as code, min(s) as dist from dist group by 1)"
 
 
+#: A number that depends on every place of `vec`.
+CHECKSUM = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum")
+
+
 def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
@@ -72,7 +77,7 @@ def quantization_error(spark, d):
     return s.select("id", "l1", F.round(F.col("l2") / 64.0 / 1e8, 9).alias("mse"), F.round(sdr, 4).alias("si_sdr"))
 
 
-@query("kmeans", f"with {NEAR}, m as (select near.code, e.d, trunc(sum(e.v) / count(*)) as m, count(*) as size from near join e using (id) group by 1, 2), c as (select b.code, b.d, cast(coalesce(m.m, b.v) as bigint) as v, coalesce(m.size, 0) as size from b left join m using (code, d)) select code, max(size) as size, cast(sum(v * (d + 1)) as bigint) as checksum from c group by 1")
+@query("kmeans", f"with {NEAR}, m as (select near.code, e.d, floor((2 * sum(e.v) + count(*)) / (2 * count(*))) as m from near join e using (id) group by 1, 2), c as (select b.code, b.d, cast(coalesce(m.m, b.v) as bigint) as v from b left join m using (code, d)), dist2 as (select e.id, c.code, sum((e.v - c.v) * (e.v - c.v)) as s from e join c using (d) group by 1, 2), near2 as (select id, arg_min(code, (s, code)) as code from dist2 group by 1), n2 as (select code, count(*) as size from near2 group by 1) select c.code, coalesce(max(n2.size), 0) as size, cast(sum(v * (d + 1)) as bigint) as checksum from c left join n2 using (code) group by 1")
 def kmeans(spark, d):
     rows = whole(spark, d)
     return vec.kmeans(rows, book(rows, 0, 16), 1).select("code", "size", F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
@@ -90,16 +95,61 @@ def ema_codebook(spark, d):
     return out.select("code", F.round("size", 6).alias("size"), F.round(F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 3).alias("checksum"))
 
 
-@query("dead_codes", f"with {NEAR}, n as (select k.code, count(near.id) as n from (select unnest(range(0, 16)) as code) k left join near using (code) group by 1), pool as (select vec_id as id, row_number() over (order by md5(vec_id::varchar || ':7'), vec_id) - 1 as r from embeddings), dead as (select code, n, row_number() over (order by code) - 1 as r from n where n < 40) select dead.code, dead.n, pool.id as replacement from dead join pool using (r)")
+POOL = "pool as (select vec_id as id, row_number() over (order by md5(vec_id::varchar || ':7'), vec_id) - 1 as r from embeddings)"
+
+
+@query("dead_codes", f"with {NEAR}, n as (select k.code, count(near.id) as n from (select unnest(range(0, 16)) as code) k left join near using (code) group by 1), {POOL}, ranked as (select code, n, n < 40 as dead, row_number() over (partition by n < 40 order by code) - 1 as r from n), v as (select ranked.code, ranked.dead, ranked.n, e.d, case when dead then e.v else b.v end as v from ranked left join pool using (r) join e on e.id = pool.id join b on b.code = ranked.code and b.d = e.d) select code, dead as replaced, case when dead then 40.0::double else n::double end as size, cast(sum(v * (d + 1)) as bigint) as checksum from v group by 1, 2, n")
 def dead_codes(spark, d):
-    from pyspark.sql import Window
+    """The codebook with its rarely used codes replaced by drawn vectors."""
+    rows = whole(spark, d)
+    codes = book(rows, 0, 16)
+    hits = vec.nearest(rows, codes).groupBy("code").agg(F.count("*").alias("size"))
+    used = codes.join(hits, "code", "left").fillna(0, ["size"])
+    return vec.replace_dead(used, rows, 7, 40.0).select("code", "replaced", "size", CHECKSUM)
+
+
+@query("codebook_init", f"with {E}, {POOL}, b as (select pool.r as code, e.d, e.v from pool join e using (id) where r < 8), dist as (select e.id, b.code, sum((e.v - b.v) * (e.v - b.v)) as s from e join b using (d) group by 1, 2), near as (select id, arg_min(code, (s, code)) as code from dist group by 1), n as (select code, count(*) as size from near group by 1) select b.code, coalesce(max(n.size), 0) as size, cast(sum(v * (d + 1)) as bigint) as checksum from b left join n using (code) group by 1")
+def codebook_init(spark, d):
+    """Drawn vectors as a first codebook, without rounds."""
+    return vec.init_codebook(whole(spark, d), 8, 0, 7).select("code", "size", CHECKSUM)
+
+
+@query("kmeans_rounds")
+def kmeans_rounds(spark, d):
+    return vec.init_codebook(whole(spark, d), 8, 5, 7).select("code", "size", CHECKSUM)
 
+
+@query("decode_latents", f"with {NEAR} select near.id, near.code, cast(sum(b.v * (b.d + 1)) as bigint) as checksum from near join b using (code) group by 1, 2")
+def decode_latents(spark, d):
+    """The nearest code of a latent vector, and that code's vector."""
     rows = whole(spark, d)
-    hits = vec.nearest(rows, book(rows, 0, 16)).groupBy("code").agg(F.count("*").alias("n"))
-    dead = spark.range(16).select(F.col("id").alias("code")).join(hits, "code", "left").fillna(0, ["n"]).where("n < 40").withColumn("r", F.row_number().over(Window.orderBy("code")))
-    picked = rows.select(F.col("id").alias("replacement")).orderBy(F.md5(F.concat(F.col("replacement").cast("string"), F.lit(":7"))), "replacement").limit(16)
-    picked = picked.withColumn("r", F.row_number().over(Window.orderBy(F.md5(F.concat(F.col("replacement").cast("string"), F.lit(":7"))), "replacement")))
-    return dead.join(picked, "r").select("code", "n", "replacement")
+    codes = book(rows, 0, 16)
+    found = vec.nearest(rows, codes).select("id", F.array("code").alias("codes"))
+    return vec.dequantize(found, [codes]).join(found, "id").select("id", F.get("codes", F.lit(0)).alias("code"), CHECKSUM)
+
+
+@query("embedding_sum", f"with {E}, g as (select user_id as b, n // 9 as t, n % 9 as c, x % 64 as token from (select user_id, row_number() over (partition by user_id order by ts) - 1 as n, cast(round(value * 100) as bigint) as x from events)) select g.b, g.t, cast(sum(e.v * (e.d + 1)) as bigint) as checksum from g join e on e.id = g.c * 16 + g.token % 16 group by 1, 2")
+def embedding_sum(spark, d):
+    """Nine channels of tokens, each with its own table of 64 vectors (16 different ones)."""
+    from corvane.operators import signal as sig
+
+    s = sig.from_events(spark.read.parquet(f"{d}/events.parquet"))
+    grid = s.select(F.col("signal_id").alias("b"), F.floor(F.col("n") / 9).alias("t"), (F.col("n") % 9).cast("int").alias("c"), (F.col("x") % 64).cast("int").alias("token"))
+    tables = whole(spark, d).where("id < 144").select(F.expr("cast(id div 16 as int)").alias("c"), F.explode(F.sequence((F.col("id") % 16).cast("int"), F.lit(63), F.lit(16))).alias("token"), "vec")
+    return vec.embedding_sum(grid, tables).select("b", "t", CHECKSUM)
+
+
+@query("l2_normalized", f"with {E}, n as (select id, sqrt(sum(v * v)) as s, sqrt(sum(v * v) / 64.0::double / 1e8::double + 1e-5::double) as r from e group by 1) select id, d, round(v / s, 8) + 0.0 as x, round(v / 10000 / r, 6) + 0.0 as rms from e join n using (id)")
+def l2_normalized(spark, d):
+    x = whole(spark, d).select("id", F.transform("vec", lambda v: v / 10000.0).alias("x"))
+    both = x.select("id", F.posexplode(F.arrays_zip(att.l2_normalize(F.col("x")).alias("x"), att.rms_norm(F.col("x")).alias("rms"))).alias("d", "z"))
+    return both.select("id", F.col("d").cast("long").alias("d"), (F.round("z.x", 8) + 0.0).alias("x"), (F.round("z.rms", 6) + 0.0).alias("rms"))
+
+
+@query("weight_norms", f"with {E}, n as (select id, sqrt(sum(v * v)) as s from e group by 1) select id, round(sum(2.5::double * v / s * (d + 1)), 6) + 0.0 as checksum from e join n using (id) group by 1")
+def weight_norms(spark, d):
+    w = att.weight_norm(F.transform("vec", lambda v: v / 10000.0), F.lit(2.5))
+    return whole(spark, d).select("id", (F.round(F.aggregate(F.transform(w, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6) + 0.0).alias("checksum"))
 
 
 @query("l2_norms", f"with {E} select id, round(sqrt(sum(v * v)::double) / 10000, 8) as norm, round(sum(abs(v)) / 10000.0::double, 6) as l1, round(max(abs(v)) / 10000.0::double, 6) as peak from e group by 1")
@@ -108,11 +158,11 @@ def l2_norms(spark, d):
     return whole(spark, d).select("id", F.round(F.sqrt(fold(lambda s, x: s + x * x).cast("double")) / 10000, 8).alias("norm"), F.round(fold(lambda s, x: s + F.abs(x)) / 10000.0, 6).alias("l1"), F.round(F.array_max(F.transform("vec", F.abs)) / 10000.0, 6).alias("peak"))
 
 
-SPECTRUM = f"{E}, k as (select unnest(range(0, 33)) as k), s as (select id, k, sum(v * cos(2 * pi() * k * d / 64.0::double)) as re, -sum(v * sin(2 * pi() * k * d / 64.0::double)) as im from e, k where id < 50 group by 1, 2)"
+SPECTRUM = f"{E}, k as (select unnest(range(0, 33)) as k), s as (select id, k, sum(v * cos(2 * pi() * k * d / 64.0::double)) as re, -sum(v * sin(2 * pi() * k * d / 64.0::double)) as im from e, k group by 1, 2)"
 
 
 def _spectrum(spark, d, window="ones"):
-    return vec.spectrum(whole(spark, d).where("id < 50").select("id", F.col("vec").alias("x")), window)
+    return vec.spectrum(whole(spark, d).select("id", F.col("vec").alias("x")), window)
 
 
 @query("spectrum_magnitude", f"with {SPECTRUM} select id, cast(k as int) as bin, round(sqrt(re * re + im * im), 4) as magnitude from s")
@@ -125,7 +175,7 @@ def spectrum_log_magnitude(spark, d):
     return vec.log_magnitude(_spectrum(spark, d), top_db=40.0).withColumn("db", F.round("db", 5))
 
 
-@query("tapered_spectrum", f"with {E}, k as (select unnest(range(0, 33)) as k), s as (select id, k, sum(v * (0.5 - 0.5 * cos(2 * pi() * d / 64.0::double)) * cos(2 * pi() * k * d / 64.0::double)) as re, sum(v * (0.5 - 0.5 * cos(2 * pi() * d / 64.0::double)) * sin(2 * pi() * k * d / 64.0::double)) as im from e, k where id < 50 group by 1, 2) select id, cast(k as int) as bin, round(sqrt(re * re + im * im), 4) as magnitude from s")
+@query("tapered_spectrum", f"with {E}, k as (select unnest(range(0, 33)) as k), s as (select id, k, sum(v * (0.5 - 0.5 * cos(2 * pi() * d / 64.0::double)) * cos(2 * pi() * k * d / 64.0::double)) as re, sum(v * (0.5 - 0.5 * cos(2 * pi() * d / 64.0::double)) * sin(2 * pi() * k * d / 64.0::double)) as im from e, k group by 1, 2) select id, cast(k as int) as bin, round(sqrt(re * re + im * im), 4) as magnitude from s")
 def tapered_spectrum(spark, d):
     return _spectrum(spark, d, "hann").select("id", "bin", F.round(F.hypot("re", "im"), 4).alias("magnitude"))
 
@@ -156,17 +206,17 @@ def mask_frequencies(spark, d):
     return _spectrum(spark, d).select("id", "bin", F.round(F.when((hz >= 1000) & (hz < 3000), 0.0).otherwise(F.hypot("re", "im")), 4).alias("magnitude"))
 
 
-@query("compare_vectors", f"with {E} select a.id, round(avg(abs(a.v - b.v)) / 10000, 6) as mean_error, round(max(abs(a.v - b.v)) / 10000.0::double, 6) as max_error, round(corr(a.v, b.v), 8) as r from e a join e b on b.id = a.id + 1 and b.d = a.d where a.id < 200 group by 1")
+@query("compare_vectors", f"with {E} select a.id, round(avg(abs(a.v - b.v)) / 10000, 6) as mean_error, round(max(abs(a.v - b.v)) / 10000.0::double, 6) as max_error, round(corr(a.v, b.v), 8) as r from e a join e b on b.id = a.id + 1 and b.d = a.d group by 1")
 def compare_vectors(spark, d):
     e = whole(spark, d).select("id", F.posexplode("vec").alias("d", "v"))
-    a = e.where("id < 200")
-    b = e.where("id <= 200").select((F.col("id") - 1).alias("id"), "d", F.col("v").alias("w"))
+    a = e
+    b = e.select((F.col("id") - 1).alias("id"), "d", F.col("v").alias("w"))
     return a.join(b, ["id", "d"]).groupBy("id").agg(F.round(F.avg(F.abs(F.col("v") - F.col("w"))) / 10000, 6).alias("mean_error"), F.round(F.max(F.abs(F.col("v") - F.col("w"))) / 10000.0, 6).alias("max_error"), F.round(F.corr("v", "w"), 8).alias("r"))
 
 
-@query("rotary_embedding", f"with {E} select a.id, a.d, round((a.v * cos(a.id % 64 / pow(10000, a.d / 32.0::double)) - b.v * sin(a.id % 64 / pow(10000, a.d / 32.0::double))) / 10000, 7) as x, round((b.v * cos(a.id % 64 / pow(10000, a.d / 32.0::double)) + a.v * sin(a.id % 64 / pow(10000, a.d / 32.0::double))) / 10000, 7) as y from e a join e b on b.id = a.id and b.d = a.d + 32 where a.d < 32 and a.id < 100")
+@query("rotary_embedding", f"with {E} select a.id, a.d, round((a.v * cos(a.id % 64 / pow(10000, a.d / 32.0::double)) - b.v * sin(a.id % 64 / pow(10000, a.d / 32.0::double))) / 10000, 7) + 0.0 as x, round((b.v * cos(a.id % 64 / pow(10000, a.d / 32.0::double)) + a.v * sin(a.id % 64 / pow(10000, a.d / 32.0::double))) / 10000, 7) + 0.0 as y from e a join e b on b.id = a.id and b.d = a.d + 32 where a.d < 32")
 def rotary_embedding(spark, d):
-    rows = whole(spark, d).where("id < 100").select("id", F.posexplode(F.arrays_zip(F.slice("vec", 1, 32).alias("a"), F.slice("vec", 33, 32).alias("b"))).alias("d", "z"))
-    angle = (F.col("id") % 64) / F.pow(F.lit(10000.0), F.col("d") / 32.0)
-    a, b = F.col("z.a"), F.col("z.b")
-    return rows.select("id", F.col("d").cast("long").alias("d"), F.round((a * F.cos(angle) - b * F.sin(angle)) / 10000, 7).alias("x"), F.round((b * F.cos(angle) + a * F.sin(angle)) / 10000, 7).alias("y"))
+    turned = att.rope(F.transform("vec", lambda v: v / 10000.0), F.col("id") % 64)
+    rows = whole(spark, d).select("id", turned.alias("r"))
+    cells = rows.select("id", F.posexplode(F.arrays_zip(F.slice("r", 1, 32).alias("x"), F.slice("r", 33, 32).alias("y"))).alias("d", "z"))
+    return cells.select("id", F.col("d").cast("long").alias("d"), (F.round("z.x", 7) + 0.0).alias("x"), (F.round("z.y", 7) + 0.0).alias("y"))
