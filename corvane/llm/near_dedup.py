@@ -24,6 +24,7 @@ be a link. Pairs are compared on the exact word shingles of their whole texts.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +39,8 @@ CHUNKS, WIDTH, ERRORS, BITS = 8, 6, 1, 16
 COMPONENTS = CHUNKS * WIDTH
 #: Members of a mixed key from which the shingles that only one document has are counted.
 LARGE = 16
+#: Members of a mixed key for each tile that its candidates are dealt out in.
+TILE = 1024
 #: Rows of (id) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -179,6 +182,26 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("size").alias("total")).where("comps > 1").select("key", "main", "total")
 
 
+def _candidates(open_: DataFrame, share: int) -> DataFrame:
+    """(a, b) of the members (key, k, n, comp, main, total, rest, shared) of mixed keys, of different components, that may be linked.
+
+    Linked texts have sizes of the same band or the next one, so members meet by (key,
+    band); the members outside of a key's main component are dealt out over its tiles,
+    one for each TILE members, so that no task has a whole key.
+    """
+    width = max(math.log(100 / share), 1e-6) * 1.001  # a little more, for the logarithms' last bits
+    tiles = F.ceil(F.col("total") / TILE).cast("int")
+    rows = open_.withColumns({"band": F.floor(F.log("n") / width), "tiles": tiles})
+    side = lambda x: [F.col("k").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "comp", "rest", "shared")]]
+    left = rows.where("comp <> main").select("key", "band", F.pmod(F.xxhash64("k"), "tiles").cast("int").alias("tile"), *side("a"))
+    right = rows.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    right = right.select("key", F.col("near").alias("band"), "tile", "main", *side("b"))
+    most = F.aggregate(F.zip_with("a_shared", "b_shared", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x) + F.least("a_rest", "b_rest")
+    new = F.expr(f"a_comp <> b_comp and (b_comp = main or a < b) and {100 + share} * least(a_n, b_n) >= {share} * (a_n + b_n)")
+    same = (left["key"] == right["key"]) & (left["band"] == right["band"]) & (left["tile"] == right["tile"])
+    return left.join(right, same & new & ((100 + share) * most >= share * (F.col("a_n") + F.col("b_n"))))
+
+
 def near_components(docs: DataFrame, words: int = WORDS, share: int = SHARE, chunks: int = CHUNKS, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; others are ignored).
 
@@ -223,11 +246,7 @@ def _placed(docs: DataFrame, words: int, share: int, chunks: int, width: int) ->
     tokens = texts.join(large, "k", "left_semi").select("k", F.explode_outer(F.array_distinct(shingle_hashes(F.col("text"), words))).alias("h"))
     alone = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c = 1").groupBy("k").agg(F.count("*").alias("own"))
     open_ = open_.join(alone, "k", "left").withColumn("rest", F.col("rest") - F.when(F.col("total") > LARGE, F.coalesce("own", F.lit(0))).otherwise(0))
-    side = lambda x: [F.col("k").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "comp", "rest", "shared")]]
-    left, right = open_.where("comp <> main").select("key", *side("a")), open_.select("key", "main", *side("b"))
-    most = F.aggregate(F.zip_with("a_shared", "b_shared", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x) + F.least("a_rest", "b_rest")
-    new = F.expr(f"a_comp <> b_comp and (b_comp = main or a < b) and {100 + share} * least(a_n, b_n) >= {share} * (a_n + b_n)")
-    across = left.join(right, (left["key"] == right["key"]) & new & ((100 + share) * most >= share * (F.col("a_n") + F.col("b_n"))))
+    across = _candidates(open_, share)
     second = _compared(across.select("a", "b").distinct(), texts, words, share).where("linked").select("a", "b")
     two = components(links.unionAll(second))
     out = sig.select("k", "d0", "d1", "n").join(classes, ["d0", "d1"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("k")))
@@ -248,6 +267,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE, chunks:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates among all of `documents`."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
