@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import let, lower_ascii
+from corvane.llm.common import fresh, let, lower_ascii
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 13, 5, 50_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,12 +108,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The rows of docs that aren't contaminated."""
-    bad = contamination(docs, benchmark, **kw).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["bad_hash"]), "left_anti")
+    """The rows of docs, all columns, that aren't contaminated.
+
+    Null and empty texts stay, as do rows with a null doc_id whose text is clean; of rows
+    with an equal doc_id each is judged by its own text; an empty benchmark removes nothing.
+    """
+    bad_id, bad_hash = fresh(docs, "bad_id"), fresh(docs, "bad_hash")
+    bad = contamination(docs, benchmark, **kw).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[bad_id]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad[bad_hash]), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contamination of every document of `documents` by `benchmark`."""
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs, bench).drop("text_hash")
 

@@ -136,4 +136,5 @@ def _batch(rows: list, with_ids: bool) -> pa.RecordBatch:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents` in sequences of 2048 ids."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -147,6 +147,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Colum
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column, train_rows: int = TRAIN_ROWS) -> Chain:
+    """A chain learned from at most train_rows rows of docs with a label `quality`; null labels and doc_ids are left out. One class of labels gives a chain that leans to it, none scores everything 0.5."""
     rows = training_rows(docs, labels, "quality", allowed, train_rows)
     return Chain.fit([r.text.encode() for r in rows], np.array([int(r.label) for r in rows]))
 
@@ -167,11 +168,12 @@ def with_score(docs: DataFrame, score_of, name: str = "score") -> DataFrame:
 
 
 def score_quality(docs: DataFrame, model: Chain) -> DataFrame:
-    """docs with score (0 to 1). Null and empty texts are one empty line; repeated rows score alike; an empty table stays empty."""
+    """docs with score (0 to 1). Null and empty texts are one empty line; repeated rows score alike; an empty table stays empty; docs must not have a column score."""
     return with_score(docs, model.scores)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document of `documents`, learned from `labels` outside the held-out fold."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels, fold(F.col("doc_id"), 5) != 0)
     held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")

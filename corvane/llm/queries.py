@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from corvane.llm.decontaminate import OP1_SQL, op1_decontaminate
 from corvane.llm.fingerprint import op7_fingerprint
 from corvane.llm.html_extract import op5_html_extract
@@ -30,7 +29,7 @@ ORACLES = {"op1_decontaminate": OP1_SQL, "op8_url_filter": OP8_SQL, "op9_near_de
 
 
 def queries() -> dict:
-    return QUERIES | {"pipeline": corpus_pipeline.run}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -223,6 +223,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents` written as token files and read back."""
     path = scratch(spark, "tokens")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return read_token_files(spark, path)

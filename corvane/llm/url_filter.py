@@ -16,7 +16,9 @@ CONTRACT_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("exa
 #: Sites listed for the registered query, in canonical form (host without www., m. or blog., then a slash).
 CONTRACT_LIST = ("adult-x.example.com/", "spam-farm.example.org/", "cheap-pills.example.net/", "ads-track.example.com/", "casino-win.example.net/", "free-bets.example.net/")
 BITS_PER_KEY = 16
-MAX_BLOCKS = 1 << 16
+MAX_BLOCKS = 1 << 19
+#: Parts that a site's pages are dealt over where the listed keys that occur are too many to broadcast.
+SALTS = 32
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -55,8 +57,9 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=CONTRACT_RULES, max_bl
 
     pages: page_id, url (others are ignored). listed: url_key, canonical keys: a page
     is listed if its canonical URL is, or its canonical host followed by '/'. Null and
-    malformed URLs have empty host and path and are allowed; null keys list nothing;
-    repeated rows of either table are kept (pages) or count once (listed).
+    malformed URLs have empty host and path and are allowed; null keys list nothing; a
+    null page_id is kept, a URL may be of any length; repeated rows of either table are
+    kept (pages) or count once (listed).
     """
     keys = listed.select(F.col("url_key").alias("key")).where("key is not null").distinct()
     n = keys.count()
@@ -77,9 +80,12 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=CONTRACT_RULES, max_bl
     rows = rows.select(*out)
     passed = rows.where("site_maybe or page_maybe")
     exact = passed.select(F.explode(F.array(F.when(F.col("site_maybe"), F.col("site_key")), F.when(F.col("page_maybe"), F.col("page_key")))).alias("key")).where("key is not null").distinct().join(keys, "key", "left_semi")
-    exact = F.broadcast(exact) if n <= broadcast_rows else exact  # no more rows than the list has
-    site, page = exact.select(F.col("key").alias("site_key"), F.lit(True).alias("site_hit")), exact.select(F.col("key").alias("page_key"), F.lit(True).alias("page_hit"))
-    judged = passed.join(site, "site_key", "left").join(page, "page_key", "left").withColumn("listed", F.coalesce("site_hit", "page_hit", F.lit(False)))
+    salts = 1 if n <= broadcast_rows else SALTS
+    exact = exact.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    exact = F.broadcast(exact) if salts == 1 else exact  # no more rows than the list has
+    site, page = exact.select(F.col("key").alias("site_key"), "salt", F.lit(True).alias("site_hit")), exact.select(F.col("key").alias("page_key"), "salt", F.lit(True).alias("page_hit"))
+    dealt = passed.withColumn("salt", F.pmod(F.xxhash64("page_id", "page_key"), F.lit(salts)).cast("int"))
+    judged = dealt.join(site, ["site_key", "salt"], "left").join(page, ["page_key", "salt"], "left").withColumn("listed", F.coalesce("site_hit", "page_hit", F.lit(False)))
     cols = ["page_id", "host", "path", "rule", "by_rule", "listed"]
     rest = rows.where("not (site_maybe or page_maybe)").withColumn("listed", F.lit(False))
     method = F.when(F.col("listed"), "block").otherwise("allow")
@@ -87,6 +93,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=CONTRACT_RULES, max_bl
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every url of `pages`."""
     listed = spark.createDataFrame([(x,) for x in CONTRACT_LIST], "url_key string")
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), listed)
 

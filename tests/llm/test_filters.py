@@ -233,3 +233,29 @@ def test_toxicity_beats_words_alone(spark):
 def test_folds_follow_crc32(spark):
     got = spark.range(50).select("id", quality.fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
+
+
+def test_url_filter_with_long_lists_and_odd_rows(spark):
+    """Keys beyond the broadcast size, false positives of a full Bloom filter, null ids and very long URLs."""
+    rng = random.Random(9)
+    hosts = [f"h{i}.example" for i in range(300)]
+    urls = [(i if i % 50 else None, f"http://{rng.choice(hosts)}/p{rng.randrange(40)}/") for i in range(2000)] + [(5000, "http://h1.example/" + "x" * 100_000), (5001, "http://h2.example/p1")]
+    listed = [(h + "/",) for h in hosts[:30]] + [(f"{h}/p{i}",) for h in hosts[30:200] for i in range(9)]
+    keys = {k for k, in listed}
+    pages = spark.createDataFrame(urls, "page_id long, url string").repartition(3)
+    table = spark.createDataFrame(listed, "url_key string")
+    for options in ({}, {"broadcast_rows": 10}, {"max_blocks": 1, "broadcast_rows": 10}):
+        got = sorted(((r.page_id, r.host, r.path, r.listed) for r in url_filter.url_filter(pages, table, **options).collect()), key=str)
+        want = []
+        for i, u in urls:
+            host, path = u[7:].split("/", 1)
+            path = "/" + path
+            want.append((i, host, path, f"{host}/" in keys or host + path.rstrip("/") in keys))
+        assert got == sorted(want, key=str)
+
+
+def test_quality_odd_labels(spark):
+    docs = spark.createDataFrame([(1, "one line"), (2, None), (None, "x")], "doc_id long, text string")
+    for labels in ([(1, 1), (2, 1)], [(1, None), (None, 0)], []):
+        model = quality.fit_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int"), F.lit(True))
+        assert all(0 <= r.score <= 1 for r in quality.score_quality(docs, model).collect())

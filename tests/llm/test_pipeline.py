@@ -3,8 +3,10 @@
 from collections import defaultdict
 
 import numpy as np
-from test_filters import LOWER, WORD, brute_components
+from test_filters import LOWER, WORD
+from test_near_stage import survivors
 
+import __spark_entry__
 import corpus_pipeline
 from corvane.llm import queries, quality, tokens
 
@@ -48,7 +50,7 @@ def test_stages(spark, tmp_path):
     ids = sorted(texts[0])
     score = model.scores([texts[0][i].encode() for i in ids])
     assert texts[1] == {i: texts[0][i] for i, s in zip(ids, score) if s >= quality.THRESHOLD} and len(texts[1]) > 150
-    assert sorted(texts[2]) == sorted(k for k, (_, c) in brute_components(texts[1].items()).items() if k == c)
+    assert sorted(texts[2]) == survivors(texts[1].items())
     assert texts[3] == cut(texts[2].items())
     windows = defaultdict(set)
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
@@ -65,7 +67,22 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    names = set(queries.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
-    assert set(queries.oracle_sql()) <= names
-    assert np.all([callable(f) for f in queries.queries().values()])
+    names = set(__spark_entry__.queries())
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert set(__spark_entry__.oracle_sql()) <= names and set(queries.oracle_sql()) <= set(queries.queries())
+    assert np.all([callable(f) for f in __spark_entry__.queries().values()])
+
+
+def test_odd_rows_through_the_stages(spark, tmp_path):
+    """Nulls, empty and repeated rows, an empty table, and columns that aren't those of documents."""
+    text = " ".join(f"This is sentence number {i} of a long and quiet story." for i in range(40))
+    rows = [(1, text, None, "a", None), (1, text, None, "a", None), (None, "Another plain story about something else entirely, told at length.", "en", None, 5), (3, None, "en", "b", 0), (4, "", "de", "b", 0), (5, text + " And a little more.", "en", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = docs.withColumns({c: corpus_pipeline.F.lit(1) for c in ("k", "spans", "near_key", "bad_id", "number", "open")})
+    for table in (docs, extra, docs.limit(0)):
+        state = table
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            path = str(tmp_path / f"{name}-{len(table.columns)}-{table.count()}")
+            stage(spark, state, SF).write.parquet(path)
+            state = spark.read.parquet(path)
+        assert state.count() == 0 if table.count() == 0 else {r.doc_id for r in state.collect()} == {1, None, 3, 4}
