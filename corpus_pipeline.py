@@ -25,28 +25,39 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents scored below the threshold."""
+    """Leaves out documents scored below the threshold.
+
+    Null and empty texts are scored as one empty line; repeated rows go or stay together;
+    a null doc_id is no reason to go; an empty table stays empty.
+    """
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 5) != 0)
     return score_quality(docs.select(*COLUMNS), model).where(F.col("score") >= THRESHOLD).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each group of near-duplicates, that with the smallest doc_id."""
+    """Leaves one document of each group of near-duplicates, that with the smallest doc_id (a null one is the smallest).
+
+    Repeated rows leave one; texts without words (null, empty) are near-duplicates of
+    nothing but their own repeated rows; columns beyond those of documents go.
+    """
     return near_dedup(docs, **NEAR).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every byte that a 100-byte string starting earlier in the corpus covers; n_chars follows the text."""
+    """Cuts every byte that a 100-byte string starting earlier in the corpus covers; n_chars follows the text.
+
+    Every row stays: a null text stays null (n_chars too), a text may become empty. "Earlier" is by doc_id, nulls first.
+    """
     return dedup_text(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents that benchmark items contaminate."""
+    """Leaves out documents that benchmark items contaminate; null and empty texts stay, an empty benchmark removes nothing."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the rest into sequences of 2048 ids; a row for each piece, with its ids."""
+    """Packs the rest into sequences of 2048 ids; a row for each piece, with its ids. Null and empty texts are their end id; repeated rows are packed as often."""
     return pack(docs, with_ids=True, memo_bytes=MEMO_BYTES)
 
 

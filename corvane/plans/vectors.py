@@ -14,8 +14,9 @@ BOOK = "b as (select id as code, d, v from e where id < 16)"
 NEAR = f"{E}, {BOOK}, dist as (select e.id, b.code, sum((e.v - b.v) * (e.v - b.v)) as s from e join b using (d) group by 1, 2), near as (select id, arg_min(code, (s, code)) as code, min(s) as dist from dist group by 1)"
 
 
-#: A number that depends on every place of `vec`.
-CHECKSUM = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum")
+def checksum():
+    """A number that depends on every place of `vec`."""
+    return F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum")
 
 
 def query(name: str, sql: str | None = None):
@@ -105,18 +106,18 @@ def dead_codes(spark, d):
     codes = book(rows, 0, 16)
     hits = vec.nearest(rows, codes).groupBy("code").agg(F.count("*").alias("size"))
     used = codes.join(hits, "code", "left").fillna(0, ["size"])
-    return vec.replace_dead(used, rows, 7, 40.0).select("code", "replaced", "size", CHECKSUM)
+    return vec.replace_dead(used, rows, 7, 40.0).select("code", "replaced", "size", checksum())
 
 
 @query("codebook_init", f"with {E}, {POOL}, b as (select pool.r as code, e.d, e.v from pool join e using (id) where r < 8), dist as (select e.id, b.code, sum((e.v - b.v) * (e.v - b.v)) as s from e join b using (d) group by 1, 2), near as (select id, arg_min(code, (s, code)) as code from dist group by 1), n as (select code, count(*) as size from near group by 1) select b.code, coalesce(max(n.size), 0) as size, cast(sum(v * (d + 1)) as bigint) as checksum from b left join n using (code) group by 1")
 def codebook_init(spark, d):
     """Drawn vectors as a first codebook, without rounds."""
-    return vec.init_codebook(whole(spark, d), 8, 0, 7).select("code", "size", CHECKSUM)
+    return vec.init_codebook(whole(spark, d), 8, 0, 7).select("code", "size", checksum())
 
 
 @query("kmeans_rounds")
 def kmeans_rounds(spark, d):
-    return vec.init_codebook(whole(spark, d), 8, 5, 7).select("code", "size", CHECKSUM)
+    return vec.init_codebook(whole(spark, d), 8, 5, 7).select("code", "size", checksum())
 
 
 @query("decode_latents", f"with {NEAR} select near.id, near.code, cast(sum(b.v * (b.d + 1)) as bigint) as checksum from near join b using (code) group by 1, 2")
@@ -125,7 +126,7 @@ def decode_latents(spark, d):
     rows = whole(spark, d)
     codes = book(rows, 0, 16)
     found = vec.nearest(rows, codes).select("id", F.array("code").alias("codes"))
-    return vec.dequantize(found, [codes]).join(found, "id").select("id", F.get("codes", F.lit(0)).alias("code"), CHECKSUM)
+    return vec.dequantize(found, [codes]).join(found, "id").select("id", F.get("codes", F.lit(0)).alias("code"), checksum())
 
 
 @query("embedding_sum", f"with {E}, g as (select user_id as b, n // 9 as t, n % 9 as c, x % 64 as token from (select user_id, row_number() over (partition by user_id order by ts) - 1 as n, cast(round(value * 100) as bigint) as x from events)) select g.b, g.t, cast(sum(e.v * (e.d + 1)) as bigint) as checksum from g join e on e.id = g.c * 16 + g.token % 16 group by 1, 2")
@@ -136,7 +137,7 @@ def embedding_sum(spark, d):
     s = sig.from_events(spark.read.parquet(f"{d}/events.parquet"))
     grid = s.select(F.col("signal_id").alias("b"), F.floor(F.col("n") / 9).alias("t"), (F.col("n") % 9).cast("int").alias("c"), (F.col("x") % 64).cast("int").alias("token"))
     tables = whole(spark, d).where("id < 144").select(F.expr("cast(id div 16 as int)").alias("c"), F.explode(F.sequence((F.col("id") % 16).cast("int"), F.lit(63), F.lit(16))).alias("token"), "vec")
-    return vec.embedding_sum(grid, tables).select("b", "t", CHECKSUM)
+    return vec.embedding_sum(grid, tables).select("b", "t", checksum())
 
 
 @query("l2_normalized", f"with {E}, n as (select id, sqrt(sum(v * v)) as s, sqrt(sum(v * v) / 64.0::double / 1e8::double + 1e-5::double) as r from e group by 1) select id, d, round(v / s, 8) + 0.0 as x, round(v / 10000 / r, 6) + 0.0 as rms from e join n using (id)")
