@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvane import runtime
 from corvane.operators import attention, catalog, coder, loudness, resampling, spectra, tokens, vectors
 from corvane.operators import signal as sig
-from corvane.sources import containers
+from corvane.sources import containers, wav
 
 
 def long_form(spark, signals):
@@ -287,3 +287,23 @@ def test_runtime(spark):
     assert off.lines == [] and off.table(spark).count() == 0
     runtime.register_functions(spark, {"twice": (lambda x: 2 * x, "long")})
     assert spark.sql("select twice(4)").first()[0] == 8
+
+
+def test_wav_files(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    xs = {("a", 0): rng.uniform(-1, 1, 80), ("a", 1): rng.uniform(-1, 1, 80), ("b", 0): rng.uniform(-1, 1, 50)}
+    rows = spark.createDataFrame([(k, c, x.tolist()) for (k, c), x in xs.items()], "name string, channel int, x array<double>")
+    folder = f"file://{tmp_path}/out"
+    for floats, tolerance in ((False, 1e-4), (True, 1e-6)):
+        wav.save(rows, folder, 40, floats)
+        got = {(r.path.split("/")[-1][0], r.channel): r.x for r in wav.read_wav(spark, folder).collect()}
+        assert all(np.allclose(got[k], x, atol=tolerance) for k, x in xs.items())
+    found = {r.path.split("/")[-1]: (r.sample_rate, r.channels, r.bits, r.frames, r.seconds) for r in wav.info(spark, folder).collect()}
+    assert found == {"a.wav": (40, 2, 32, 80, 2.0), "b.wav": (40, 1, 32, 50, 1.25)}
+    assert wav.find_audio(spark, folder).count() == 2 and wav.find_audio(spark, folder, ("mp3",)).count() == 0
+    mono = wav.load(spark, folder, 20).where("path like '%a.wav'").orderBy("n").collect()
+    assert len(mono) == 40 and abs(mono[3].x - (xs["a", 0][6] + xs["a", 1][6]) / 2) < 1e-6
+    with pytest.raises(Exception, match="not two channels"):
+        wav.stereo(wav.read_wav(spark, folder)).collect()
+    with pytest.raises(ValueError):
+        wav.decode(wav.encode(np.zeros((1, 4)), 8).replace(b"\x10\0data", b"\x18\0data"))
