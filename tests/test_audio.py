@@ -3,6 +3,7 @@
 import math
 import random
 import struct
+from dataclasses import dataclass, field
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from corvane import runtime
 from corvane.operators import attention, catalog, coder, loudness, resampling, spectra, tokens, vectors
 from corvane.operators import signal as sig
-from corvane.sources import containers, wav
+from corvane.sources import configs, containers, wav
 
 
 def long_form(spark, signals):
@@ -307,3 +308,34 @@ def test_wav_files(spark, tmp_path):
         wav.stereo(wav.read_wav(spark, folder)).collect()
     with pytest.raises(ValueError):
         wav.decode(wav.encode(np.zeros((1, 4)), 8).replace(b"\x10\0data", b"\x18\0data"))
+
+
+@dataclass
+class Config:
+    sample_rate: int = 44100
+    name: str = "none"
+    gain: float = 1.0
+    causal: bool = False
+    ratios: list = field(default_factory=list)
+
+
+def test_configurations(spark, tmp_path):
+    got = configs.parse('{"SampleRate": 24000, "gain": 2, "CAUSAL": true, "ratios": [8, 5], "other": 1}', Config)
+    assert got == Config(24000, "none", 2.0, True, [8, 5]) and configs.parse(configs.dump(got), Config) == got
+    for bad in ("[1]", "{", '{"sample_rate": "x"}', '{"sample_rate": true}'):
+        with pytest.raises(ValueError):
+            configs.parse(bad, Config)
+    df = spark.createDataFrame([('{"a": 1}',), ("no",)], "j string").select(configs.parse_column(F.col("j"), "a int").alias("c"))
+    assert [r.c and r.c.a for r in df.collect()] == [1, None]
+
+
+def test_cache_table(spark, tmp_path):
+    path, now = str(tmp_path / "cache"), F.lit("2024-03-31").cast("date")
+    files = lambda rows: spark.createDataFrame(rows, "model string, revision string, path string, content binary")
+    early = F.lit("2024-01-01").cast("date")
+    configs.write_cache(configs.cache_entries(files([("a/b", None, "x.bin", bytearray(b"1")), ("c", "v1", "y.bin", bytearray(b"2"))]), early), path)
+    configs.write_cache(configs.cache_entries(files([("c", "v1", "y.bin", bytearray(b"3")), ("c", "v1", "z.bin", bytearray(b"4"))]), now), path)
+    entries = spark.read.parquet(path)
+    assert {(r.model, r.revision, r.path, r.bytes) for r in entries.collect()} == {("a/b", "main", "x.bin", 1), ("c", "v1", "y.bin", 1), ("c", "v1", "z.bin", 1)}
+    present = entries.where("path <> 'z.bin'").select("model", "revision", "path", F.when(F.col("path") == "y.bin", F.lit("0")).otherwise(F.col("sha256")).alias("sha256"))
+    assert {(r.path, r.reason) for r in configs.stale(entries, present, now).collect()} == {("x.bin", "old"), ("y.bin", "changed"), ("z.bin", "missing")}
