@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corvane.llm.common import by_bytes, trimmed
+from corvane.llm.common import by_bytes, fresh, trimmed
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of doc_id.
 TRAIN_ROWS = 4000
@@ -153,10 +153,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column, train_rows:
 
 
 def with_score(docs: DataFrame, score_of, name: str = "score") -> DataFrame:
-    """docs and a double column name: score_of(list of UTF-8 texts) of its text column, whole texts, null as empty. docs must not have a column of that name."""
-    names = docs.columns
-    if name.lower() in (c.lower() for c in names):
-        raise ValueError(f"docs has a column {name} already: give another name")
+    """docs, all columns, and a double column name: score_of(list of UTF-8 texts) of its text column, whole texts, null as empty. Where docs has a column of that name, the new one has an underscore before it."""
+    names, name = docs.columns, fresh(docs, name)
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
@@ -168,7 +166,7 @@ def with_score(docs: DataFrame, score_of, name: str = "score") -> DataFrame:
 
 
 def score_quality(docs: DataFrame, model: Chain) -> DataFrame:
-    """docs with score (0 to 1). Null and empty texts are one empty line; repeated rows score alike; an empty table stays empty; docs must not have a column score."""
+    """docs with score (0 to 1). Null and empty texts are one empty line; repeated rows score alike; an empty table stays empty; beside a column score of docs' own it is _score."""
     return with_score(docs, model.scores)
 
 

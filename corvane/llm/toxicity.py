@@ -338,7 +338,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, train_rows
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """docs with score (0 to 1). Null and empty texts get the base score; repeated rows score alike; an empty table stays empty; docs must not have a column score."""
+    """docs with score (0 to 1). Null and empty texts get the base score; repeated rows score alike; an empty table stays empty; beside a column score of docs' own it is _score."""
     return with_score(docs, grammar.scores)
 
 

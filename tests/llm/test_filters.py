@@ -208,8 +208,8 @@ def test_toxicity_odd_tables(spark):
     got = toxicity.score_toxicity(docs, g).collect()
     base = g.scores([b""])[0]
     assert [r.score for r in got[:4]] == [base] * 4 and got[4].score > 0.7 and got[5].score > 0.7
-    with pytest.raises(ValueError):
-        toxicity.score_toxicity(docs.withColumnRenamed("label", "score"), g)
+    clash = toxicity.score_toxicity(docs.withColumnRenamed("label", "score"), g)
+    assert clash.columns == ["doc_id", "text", "score", "_score"] and {r.score for r in clash.collect()} == {"x"}
     for labels in ([(5, 1), (3, 1)], [(5, 0), (3, None), (None, 1)], []):  # one class, nulls, none
         table = spark.createDataFrame(labels, "doc_id long, toxic int")
         fitted = toxicity.fit_toxicity(docs, table, F.lit(True))
@@ -259,3 +259,40 @@ def test_quality_odd_labels(spark):
     for labels in ([(1, 1), (2, 1)], [(1, None), (None, 0)], []):
         model = quality.fit_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int"), F.lit(True))
         assert all(0 <= r.score <= 1 for r in quality.score_quality(docs, model).collect())
+
+
+def test_line_features_against_plain_counts():
+    texts = ["A line, with words words.\nAnd 12 more | lines!\n\nA line, with words words.", "", "\u00e9t\u00e9 | \u00e9t\u00e9", "X" * 50]
+    x, size, n = quality.line_features([t.encode() for t in texts])
+    lines = [line for t in texts for line in t.split("\n")]
+    assert n.tolist() == [len(t.split("\n")) for t in texts] and size.tolist() == [max(1, len(line.encode())) for line in lines]
+    share = lambda line, kinds: sum(line.count(c) for c in kinds) / max(1, len(line))
+    for row, line in zip(x, lines):
+        assert np.isclose(row[0], share(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        assert np.isclose(row[1], share(line, "\u00e9")) and np.isclose(row[2], share(line, "0123456789"))
+        assert np.isclose(row[6], share(line, "|_/\\")) and np.isclose(row[7], share(line, ".,;:?'\"()-"))
+    width = 8 + 8 * len(quality._STEPS)
+    assert x[3, width + 5] == 1 and not x[:3, width + 5].any()  # the fourth line repeats the first of its text
+
+
+def test_quality_is_the_length_weighted_mean_of_marginals():
+    rng = np.random.default_rng(8)
+    text = "short\na somewhat longer line here\nx"
+    x, size, n = quality.line_features([text.encode()])
+    model = quality.Chain(rng.normal(size=x.shape[1]) / 5, rng.normal(size=(2, 2)))
+    p, total = np.zeros(3), 0.0
+    for k in range(8):
+        y = [k >> i & 1 for i in range(3)]
+        weight = np.exp(sum((x[i] @ model.w) * y[i] for i in range(3)) + sum(model.trans[y[i], y[i + 1]] for i in range(2)))
+        total += weight
+        p += weight * np.array(y)
+    assert np.isclose(model.scores([text.encode()])[0], (p / total * size).sum() / size.sum())
+
+
+def test_fit_raises_the_likelihood():
+    """The fitted chain explains its training labels better than the empty one, and every step's gradient points uphill."""
+    texts = [b"good plain words here\nand some more of them", b"### 123 ### 456\n@@@ 99", b"calm sentences, quietly told", b"1 2 3 4 5\n6 7 8 9"] * 5
+    labels = np.array([1, 0, 1, 0] * 5)
+    model = quality.Chain.fit(texts, labels)
+    got = model.scores(texts)
+    assert got[labels == 1].min() > 0.8 and got[labels == 0].max() < 0.2

@@ -63,3 +63,36 @@ def test_repeated_rows_and_empty_table(spark):
     rows = rows_of(docs)
     assert len(rows) == 2 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 2
     assert rows_of(docs.limit(0)) == []
+
+
+def test_best_fit_against_a_plain_search():
+    """Every piece goes to the open window with the least room that it fits, the oldest in ties; else the fullest is emitted."""
+    rng = random.Random(21)
+    for limit, size in ((1, 10), (3, 20), (8, 100)):
+        opened, plain, emitted, want, count = packing.OpenWindows(limit, size), [], [], [], 0
+        for i in range(400):
+            n = rng.randrange(1, size)
+            done = opened.place(n, i)
+            while done and None in done:
+                k = done.index(None)
+                emitted.append(done[:k])
+                done = done[k + 1 :]
+            if done:
+                emitted.append(done)
+            fits = [w for w in plain if w[0] >= n]
+            if fits:
+                w = min(fits, key=lambda w: (w[0], w[1]))
+            else:
+                if len(plain) >= limit:
+                    full = min(plain, key=lambda w: (w[0], w[1]))
+                    plain.remove(full)
+                    want.append(full[2])
+                w = [size, count, []]
+                count += 1
+                plain.append(w)
+            w[2].append((size - w[0], i))
+            w[0] -= n
+            if not w[0]:
+                plain.remove(w)
+                want.append(w[2])
+        assert emitted == want and sorted(map(str, opened.rest())) == sorted(str(w[2]) for w in plain)
