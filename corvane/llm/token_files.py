@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import tokens
-from corvane.llm.common import by_bytes, n_partitions, range_bounds, range_index, scratch, trimmed
+from corvane.llm.common import by_bytes, gone_at_exit, n_partitions, range_bounds, range_index, scratch, trimmed
 
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = 60 // COUNTS
 ESCAPE = 15
 BLOCK = 1 << 10
 #: Ids of a segment, unless one document has more.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 _SELECTOR = np.full(int(COUNTS[0]) + 1, ESCAPE)  # by count; 0: no width is enough
 _SELECTOR[COUNTS] = np.arange(len(COUNTS))
 _BITS = np.array([i.bit_length() for i in range(1 << 17)], np.uint8)
@@ -226,4 +226,4 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents` written as token files and read back."""
     path = scratch(spark, "tokens")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return read_token_files(spark, path)
+    return read_token_files(spark, gone_at_exit(spark, path))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,6 +24,23 @@ def test_memo_equals_library(text):
     assert enc.encode(text).tolist() == enc.whole(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=" \n\r\t\x00\x0b\x1c\x85\xa0\u2028\u3000 aB9.,!'#é中\U0001f600", max_size=25)), max_size=6))
+def test_many_texts_equal_library(texts):
+    enc = tokens.encoder(tokens.default_path())
+    ids, counts = enc.encode_many(pa.array(texts, pa.string()))
+    assert counts.sum() == len(ids)
+    ends = counts.cumsum()
+    assert [ids[e - n : e].tolist() for n, e in zip(counts, ends)] == [enc.whole(t) if t else [] for t in texts]
+
+
+def test_lines_equal_library():
+    enc = tokens.Encoder(tokens.default_path())
+    text = "One line's end.\nAnother one!\nthird\n\nafter a gap\n indented\nlast\n"
+    for t in (text, "plain.\nlines\nonly", "\nstart", "end\n", "a\n", "\n", "x" * 40_000 + "\n" + "y z" * 20_000, "a\x00b\nc d", "tab\t\nx y", "tab\t x\ny"):
+        assert enc.encode_many(pa.array([t, None, t]))[0].tolist() == enc.whole(t) * 2
+
+
 def test_full_memo_equals_library():
     enc = tokens.Encoder(tokens.default_path(), memo_bytes=2000)
     for text in ("one two three four two one", "x" * 100 + " yes", " a b", "", "<|endoftext|> a"):
