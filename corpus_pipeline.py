@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import scratch
+from corvane.llm.common import gone_at_exit, scratch
 from corvane.llm.decontaminate import decontaminate
 from corvane.llm.near_dedup import near_dedup
 from corvane.llm.packing import pack
@@ -18,7 +18,7 @@ from corvane.llm.quality import THRESHOLD, fit_quality, fold, score_quality
 from corvane.llm.suffix_dedup import dedup_text
 
 #: Bytes of words that a packing worker remembers: the workers live on through the other stages, which need the memory.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 16 << 20
 #: Near-duplicates share 80 % of their 5-word shingles; with 9 chunks of 5 min-hashes such a pair shares no key with a probability of about 6e-6.
 NEAR = {"words": 5, "share": 80, "chunks": 9, "width": 5}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -72,5 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = spark.read.parquet(gone_at_exit(spark, path))
     return STAGES[-1][1](spark, docs, sf_dir)
