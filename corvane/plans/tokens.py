@@ -46,20 +46,35 @@ def revert_delay(spark, d):
     return tok.revert_delay(grid(spark, d), _SHORT)
 
 
-@query("end_countdown", f"with {GRID}, e as (select b, t, c, case when c = 0 and token % 5 = 0 then 1024 else token end as token from g), f as (select *, min(t) filter (c = 0 and token = 1024) over (partition by b) as t0, {_CASE} as d from e) select b, t, c, case when t - t0 - d = 0 then 1024 when t - t0 - d > 0 then 1025 else token end as token from f")
+@query(
+    "end_countdown",
+    f"with {GRID}, e as (select b, t, c, case when c = 0 and token % 5 = 0 then 1024 else token end as token from g), "
+    f"f as (select *, min(t) filter (c = 0 and token = 1024) over (partition by b) as t0, {_CASE} as d from e) "
+    "select b, t, c, case when t - t0 - d = 0 then 1024 when t - t0 - d > 0 then 1025 else token end as token from f",
+)
 def end_countdown(spark, d):
     e = grid(spark, d).withColumn("token", F.when((F.col("c") == 0) & (F.col("token") % 5 == 0), 1024).otherwise(F.col("token")))
     return tok.end_countdown(e, _SHORT)
 
 
-@query("byte_tokens", "select conv_id, turn, substr(hex(encode(replace(replace((case role when 'user' then '[S1]' else '[S2]' end) || text, '[S1]', chr(1)), '[S2]', chr(2)))), 1, 2048) as tokens from conversations")
+@query(
+    "byte_tokens",
+    "select conv_id, turn, substr(hex(encode(replace(replace((case role when 'user' then '[S1]' else '[S2]' end) || text, '[S1]', chr(1)), "
+    "'[S2]', chr(2)))), 1, 2048) as tokens from conversations",
+)
 def byte_tokens(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
     text = F.concat(F.when(F.col("role") == "user", "[S1]").otherwise("[S2]"), F.col("text"))
     return c.select("conv_id", "turn", tok.byte_tokens(text).alias("tokens"))
 
 
-@query("padded_tokens", "with h as (select conv_id, turn, substr(hex(encode(text)), 1, 2048) as h from conversations), b as (select conv_id, turn, i, case when 2 * i < length(h) then cast('0x' || substr(h, cast(2 * i + 1 as bigint), 2) as int) else 0 end as v from h, (select unnest(range(0, 1024)) as i)) select conv_id, turn, cast(sum(v * (i + 1)) as bigint) as checksum, count(*) as size from b group by 1, 2")
+@query(
+    "padded_tokens",
+    "with h as (select conv_id, turn, substr(hex(encode(text)), 1, 2048) as h from conversations), "
+    "b as (select conv_id, turn, i, case when 2 * i < length(h) then cast('0x' || substr(h, cast(2 * i + 1 as bigint), 2) as int) else 0 end as "
+    "v from h, (select unnest(range(0, 1024)) as i)) select conv_id, turn, cast(sum(v * (i + 1)) as bigint) as checksum, count(*) as size from b "
+    "group by 1, 2",
+)
 def padded_tokens(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
     arr = tok.byte_array(tok.byte_tokens(F.col("text")), 1024)
@@ -94,19 +109,34 @@ def top_p(spark, d):
 UNIFORM = "(cast('0x' || substr(md5(row::varchar), 1, 8) as bigint) / 4294967296.0::double)"
 
 
-@query("multinomial_draw", f"with {NUCLEUS}, r as (select *, sum(weight) over (partition by row order by rank) as run, sum(weight) over (partition by row) as all_ from p) select row, arg_min(token, rank) as token from r where run > {UNIFORM} * all_ group by 1")
+@query(
+    "multinomial_draw",
+    f"with {NUCLEUS}, r as (select *, sum(weight) over (partition by row order by rank) as run, sum(weight) over (partition by row) as all_ "
+    f"from p) select row, arg_min(token, rank) as token from r where run > {UNIFORM} * all_ group by 1",
+)
 def multinomial_draw(spark, d):
     kept = tok.top_p(tok.top_k(logits(spark, d), 45), 95, 100)
     return tok.draw(kept, tok.hashed_uniform(F.col("row")))
 
 
-@query("end_unless_best", f"with {LOGITS} select row, count(*) filter (not (token = 63 and rank > 1)) as n, coalesce(max(rank) filter (token = 63), 0) as end_rank from k group by 1")
+@query(
+    "end_unless_best",
+    f"with {LOGITS} select row, count(*) filter (not (token = 63 and rank > 1)) as n, coalesce(max(rank) filter (token = 63), 0) as end_rank "
+    "from k group by 1",
+)
 def end_unless_best(spark, d):
     k = tok.top_k(logits(spark, d), 45)
     return k.groupBy("row").agg(F.count_if(~((F.col("token") == 63) & (F.col("rank") > 1))).alias("n"), F.coalesce(F.max(F.when(F.col("token") == 63, F.col("rank").cast("long"))), F.lit(0).cast("long")).alias("end_rank"))
 
 
-@query("guidance", "with e as (select vec_id, unnest(range(0, 64)) as token, cast(round(unnest(embedding)::double * 10000) as bigint) as v from embeddings), p as (select a.vec_id // 2 as row, a.token, a.v + 3 * (a.v - b.v) as v from e a join e b on b.vec_id = a.vec_id + 1 and b.token = a.token where a.vec_id % 2 = 0), m as (select row, token, case when token > 62 then null when token = 62 then trunc(v * 4 / 5) else v end as v from p) select row, cast(sum(v * (token + 1)) as bigint) as checksum, arg_max(token, (v, -token)) as best from m where v is not null group by 1")
+@query(
+    "guidance",
+    "with e as (select vec_id, unnest(range(0, 64)) as token, cast(round(unnest(embedding)::double * 10000) as bigint) as v from embeddings), "
+    "p as (select a.vec_id // 2 as row, a.token, a.v + 3 * (a.v - b.v) as v from e a join e b on b.vec_id = a.vec_id + 1 and b.token = a.token "
+    "where a.vec_id % 2 = 0), m as (select row, token, case when token > 62 then null when token = 62 then trunc(v * 4 / 5) else v end as v "
+    "from p) select row, cast(sum(v * (token + 1)) as bigint) as checksum, arg_max(token, (v, -token)) as best from m where v is not null "
+    "group by 1",
+)
 def guidance(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode(F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("long"))).alias("token", "v"))
     a = e.where("vec_id % 2 = 0").select(F.expr("vec_id div 2").alias("row"), "token", F.col("v").alias("cond"))
@@ -116,7 +146,13 @@ def guidance(spark, d):
     return rows.groupBy("row").agg(F.sum(F.col("v") * (F.col("token") + 1)).alias("checksum"), F.max_by("token", F.struct("v", -F.col("token"))).cast("long").alias("best"))
 
 
-@query("quantized_cdf", "with n as (select length(event_type) * 100 + ascii(event_type) as symbol, count(*) as n from events group by 1), w as (select symbol, n * (4096 - (select count(*) from n) * 2) // (select sum(n) from n) + 2 as width from n) select cast(symbol as int) as symbol, cast(width as bigint) as width, cast(sum(width) over (order by symbol) - width as bigint) as low, cast(sum(width) over (order by symbol) as bigint) as high from w")
+@query(
+    "quantized_cdf",
+    "with n as (select length(event_type) * 100 + ascii(event_type) as symbol, count(*) as n from events group by 1), "
+    "w as (select symbol, n * (4096 - (select count(*) from n) * 2) // (select sum(n) from n) + 2 as width from n) "
+    "select cast(symbol as int) as symbol, cast(width as bigint) as width, cast(sum(width) over (order by symbol) - width as bigint) as low, "
+    "cast(sum(width) over (order by symbol) as bigint) as high from w",
+)
 def quantized_cdf(spark, d):
     n = spark.read.parquet(f"{d}/events.parquet").groupBy((F.length("event_type") * 100 + F.ascii("event_type")).alias("symbol")).agg(F.count("*").alias("n"))
     return tok.quantized_cdf(n)
@@ -129,7 +165,11 @@ def codes(spark, d):
     return sig.from_events(spark.read.parquet(f"{d}/events.parquet")).select(F.col("signal_id").alias("stream"), F.col("n").alias("pos"), (F.col("x") % 1024).cast("int").alias("code"))
 
 
-@query("pack_bits", f"with {CODES}, x as (select stream, pos * 10 + k as place, (code >> k) & 1 as bit from c, (select unnest(range(0, 10)) as k)) select stream, place // 8 as byte, cast(sum(bit << (place % 8)) as int) as value from x group by 1, 2")
+@query(
+    "pack_bits",
+    f"with {CODES}, x as (select stream, pos * 10 + k as place, (code >> k) & 1 as bit from c, (select unnest(range(0, 10)) as k)) "
+    "select stream, place // 8 as byte, cast(sum(bit << (place % 8)) as int) as value from x group by 1, 2",
+)
 def pack_bits(spark, d):
     return tok.pack_bits(codes(spark, d), 10)
 
@@ -170,13 +210,22 @@ def combined_attention(spark, d):
     return _attention(spark, d, causal=True, padded=True)
 
 
-@query("sinusoids", "with p as (select conv_id, turn, unnest(range(0, 8)) as i from conversations) select conv_id, turn, round(sum((i + 1) * sin(turn / pow(10000, 2.0 * i / 16)) + (i + 9) * cos(turn / pow(10000, 2.0 * i / 16))), 6) + 0.0 as checksum from p group by 1, 2")
+@query(
+    "sinusoids",
+    "with p as (select conv_id, turn, unnest(range(0, 8)) as i from conversations) "
+    "select conv_id, turn, round(sum((i + 1) * sin(turn / pow(10000, 2.0 * i / 16)) + (i + 9) * cos(turn / pow(10000, 2.0 * i / 16))), 6) + 0.0 "
+    "as checksum from p group by 1, 2",
+)
 def sinusoids(spark, d):
     total = F.aggregate(F.transform(att.sinusoid(F.col("turn"), 16), lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", (F.round(total, 6) + 0.0).alias("checksum"))
 
 
-@query("rotated_halves", "with e as (select vec_id, unnest(range(0, 64)) as d, cast(round(unnest(embedding)::double * 10000) as bigint) as v from embeddings) select vec_id, cast(sum(case when d >= 32 then -v * (d - 31) else v * (d + 33) end) as bigint) as checksum from e group by 1")
+@query(
+    "rotated_halves",
+    "with e as (select vec_id, unnest(range(0, 64)) as d, cast(round(unnest(embedding)::double * 10000) as bigint) as v from embeddings) "
+    "select vec_id, cast(sum(case when d >= 32 then -v * (d - 31) else v * (d + 33) end) as bigint) as checksum from e group by 1",
+)
 def rotated_halves(spark, d):
     whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("long"))
     total = F.aggregate(F.transform(att.rotate_half(whole), lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -189,7 +238,12 @@ def repeated_heads(spark, d):
     return att.repeat_heads(rows, 3)
 
 
-@query("dense_general", "select s_nationkey, l_returnflag, cast(sum(cast(round(s_acctbal * 100) as bigint) * q) as bigint) as x from (select l_suppkey, l_returnflag, sum(cast(l_quantity as bigint)) as q from lineitem group by 1, 2) l join supplier on s_suppkey = l_suppkey group by 1, 2")
+@query(
+    "dense_general",
+    "select s_nationkey, l_returnflag, cast(sum(cast(round(s_acctbal * 100) as bigint) * q) as bigint) as x "
+    "from (select l_suppkey, l_returnflag, sum(cast(l_quantity as bigint)) as q from lineitem group by 1, 2) l "
+    "join supplier on s_suppkey = l_suppkey group by 1, 2",
+)
 def dense_general(spark, d):
     """Sums of products of two tensors over the supplier."""
     a = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("supplier"), "l_returnflag").agg(F.sum(F.col("l_quantity").cast("long")).alias("x"))
@@ -201,7 +255,15 @@ _W = [(o, c, t, (o + 1) * 3 - 2 * c + t) for o in range(2) for c in range(2) for
 _W_SQL = ", ".join(str(w) for w in _W)
 
 
-@query("conv1d", f"with sig as (select user_id as signal_id, row_number() over (partition by user_id order by ts) - 1 as n, count(*) over (partition by user_id) as len, cast(round(value * 100) as bigint) as x from events), c as (select signal_id, n % 2 as channel, n // 2 as n, len // 2 as len, x from sig where n < len - len % 2), w(o, channel, tap, w) as (values {_W_SQL}) select signal_id, o as channel, loc // 2 as n, cast(sum(x * w) as bigint) as x from (select signal_id, o, x, w, len, n + 4 - tap * 2 as loc from c join w using (channel)) where loc >= 0 and loc < len and loc % 2 = 0 group by 1, 2, 3")
+@query(
+    "conv1d",
+    "with sig as (select user_id as signal_id, row_number() over (partition by user_id order by ts) - 1 as n, count(*) over (partition by "
+    "user_id) as len, cast(round(value * 100) as bigint) as x from events), "
+    "c as (select signal_id, n % 2 as channel, n // 2 as n, len // 2 as len, x from sig where n < len - len % 2), "
+    f"w(o, channel, tap, w) as (values {_W_SQL}) select signal_id, o as channel, loc // 2 as n, cast(sum(x * w) as bigint) as x "
+    "from (select signal_id, o, x, w, len, n + 4 - tap * 2 as loc from c join w using (channel)) where loc >= 0 and loc < len and loc % 2 = 0 "
+    "group by 1, 2, 3",
+)
 def conv1d(spark, d):
     """Two channels to two through three taps, dilated by two, every second output."""
     rows = sig.deinterleave(sig.from_events(spark.read.parquet(f"{d}/events.parquet")))
@@ -217,17 +279,30 @@ def scores(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("id"), F.col("event_type").alias("layer"), (v / 500).alias("real"), ((v * 7) % 500 / 500).alias("fake"))
 
 
-@query("gan_losses", f"with {SCORES} select id, round(avg(pow(1 - real, 2)) + avg(pow(fake, 2)), 6) as discriminator, round(avg(pow(1 - fake, 2)), 6) as generator from s group by 1")
+@query(
+    "gan_losses",
+    f"with {SCORES} select id, round(avg(pow(1 - real, 2)) + avg(pow(fake, 2)), 6) as discriminator, round(avg(pow(1 - fake, 2)), 6) as generator "
+    "from s group by 1",
+)
 def gan_losses(spark, d):
     return att.gan_losses(scores(spark, d)).select("id", F.round("discriminator", 6).alias("discriminator"), F.round("generator", 6).alias("generator"))
 
 
-@query("feature_loss", f"with {SCORES} select id, round(sum(l), 8) as loss from (select id, layer, avg(abs(real - fake)) as l from s group by 1, 2) group by 1")
+@query(
+    "feature_loss",
+    f"with {SCORES} select id, round(sum(l), 8) as loss from (select id, layer, avg(abs(real - fake)) as l from s group by 1, 2) group by 1",
+)
 def feature_loss(spark, d):
     return att.feature_loss(scores(spark, d)).withColumn("loss", F.round("loss", 8))
 
 
-@query("filled_grid", f"with {GRID}, new as (select b, t, c, 7 as token from g where token % 3 = 0), old as (select b, t, c, case when token % 2 = 0 then -1 else token end as token from g) select old.b, old.t, old.c, case when old.token = -1 and new.token is not null then new.token else old.token end as token from old left join new using (b, t, c)")
+@query(
+    "filled_grid",
+    f"with {GRID}, new as (select b, t, c, 7 as token from g where token % 3 = 0), "
+    "old as (select b, t, c, case when token % 2 = 0 then -1 else token end as token from g) "
+    "select old.b, old.t, old.c, case when old.token = -1 and new.token is not null then new.token else old.token end as token from old left "
+    "join new using (b, t, c)",
+)
 def filled_grid(spark, d):
     g = grid(spark, d)
     old = g.withColumn("token", F.when(F.col("token") % 2 == 0, -1).otherwise(F.col("token")))
@@ -242,14 +317,26 @@ def open_grid(spark, d):
 _U = "(cast('0x' || substr(md5(key::varchar || ':{}'), 1, 8) as bigint) / 4294967296.0::double)"
 
 
-@query("chosen_items", f"with o as (select o_custkey as key, o_orderpriority as grp, cast(substr(o_orderpriority, 1, 1) as bigint) as weight, o_orderkey as item from orders), g as (select key, grp, max(weight) as weight, list(item order by item) as items from o group by 1, 2), r as (select *, sum(weight) over (partition by key order by grp) as run, sum(weight) over (partition by key) as all_ from g), h as (select key, arg_min(grp, grp) as grp, arg_min(items, grp) as items from r where run > {_U.format('group')} * all_ group by 1) select key, grp, items[cast(floor({_U.format('item')} * len(items)) as bigint) + 1] as item from h")
+@query(
+    "chosen_items",
+    "with o as (select o_custkey as key, o_orderpriority as grp, cast(substr(o_orderpriority, 1, 1) as bigint) as weight, o_orderkey as item "
+    "from orders), g as (select key, grp, max(weight) as weight, list(item order by item) as items from o group by 1, 2), "
+    "r as (select *, sum(weight) over (partition by key order by grp) as run, sum(weight) over (partition by key) as all_ from g), "
+    f"h as (select key, arg_min(grp, grp) as grp, arg_min(items, grp) as items from r where run > {_U.format('group')} * all_ group by 1) "
+    f"select key, grp, items[cast(floor({_U.format('item')} * len(items)) as bigint) + 1] as item from h",
+)
 def chosen_items(spark, d):
     """An order of each customer: a priority by weight, then one of its orders."""
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("grp"), F.substring("o_orderpriority", 1, 1).cast("long").alias("weight"), F.col("o_orderkey").alias("item"))
     return tok.choose(o, F.col("key"))
 
 
-@query("drawn_numbers", f"with k as (select event_id as key from events) select key as event_id, 3.5::double as const, round(2 + (5 - 2) * {_U.format('u')}, 8) as uniform, round(1 + 2 * sqrt(-2 * ln(1 - {_U.format('a')})) * cos(2 * pi() * {_U.format('b')}), 7) + 0.0 as normal from k")
+@query(
+    "drawn_numbers",
+    "with k as (select event_id as key from events) "
+    f"select key as event_id, 3.5::double as const, round(2 + (5 - 2) * {_U.format('u')}, 8) as uniform, round(1 + 2 * sqrt(-2 * ln(1 - "
+    f"{_U.format('a')})) * cos(2 * pi() * {_U.format('b')}), 7) + 0.0 as normal from k",
+)
 def drawn_numbers(spark, d):
     draw = lambda *a: tok.sample_distribution(F.col("event_id"), *a)
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", draw("const", 3.5).alias("const"), F.round(draw("uniform", 2, 5), 8).alias("uniform"), (F.round(draw("normal", 1, 2), 7) + 0.0).alias("normal"))
@@ -300,7 +387,11 @@ def bracket_cleanup(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.replace(F.replace(t, F.lit("[["), F.lit("[")), F.lit("]]"), F.lit("]")).alias("text"))
 
 
-@query("speed_factor", "select conv_id, turn, round(case when length(text) > 400 then 1 - 0.2 * least(1.0, (length(text) - 400) / 350.0::double) else 1.0 end, 9) as factor from conversations")
+@query(
+    "speed_factor",
+    "select conv_id, turn, round(case when length(text) > 400 then 1 - 0.2 * least(1.0, (length(text) - 400) / 350.0::double) else 1.0 end, 9) "
+    "as factor from conversations",
+)
 def speed_factor(spark, d):
     n = F.char_length("text")
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.round(F.when(n > 400, 1 - 0.2 * F.least(F.lit(1.0), (n - 400) / 350.0)).otherwise(1.0), 9).alias("factor"))
