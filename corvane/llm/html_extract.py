@@ -10,14 +10,16 @@ that have the node,
   every page has none;
 * its content importance is one less the mean entropy of the features of its texts (the
   whole block, and its first words) over the pages: what reads alike on every page has none;
-* a text node's importance is the mean of both; a branch's importance comes from its
+* a text node's importance is the weighted mean of both; a branch's importance comes from its
   children upwards: the text-weighted mean of the nodes below it, with its own
   presentation. A branch with a clearly important node below it is never low as a whole.
 
 A host with few pages leans on the tree of all hosts, and that on UNKNOWN, in proportion
 to their pages: there is no page count from which a site is treated otherwise. Names are
 a prior that is added to a node's importance: being in article or main speaks for it,
-menu-like tags and class words against it; a word inside a longer name weighs little.
+menu-like tags and class words against it (those of menus, footers, sidebars, adverts and
+comments outweigh any importance, as such text differs from page to page like content
+does); a word inside a longer name weighs little. So is text that is mostly links.
 Blocks on a branch whose sum is below LEAST go from each page.
 
 Statistics are counted in each batch, then over the cluster; the list of low nodes is
@@ -41,13 +43,17 @@ from corvane.llm.common import by_bytes, stored, trimmed
 from corvane.llm.url_filter import host_path
 
 #: Importance (with prior) below which a branch goes, and from which a node protects the branches above it.
-LEAST, CLEAR = 0.5, 0.75
+LEAST, CLEAR = 0.5, 0.6
 #: Importance of a node on a single page, and the pages' worth that the tree of all hosts has in a host's.
 UNKNOWN, SHARED_PAGES = 0.8, 4
 #: Weight of its own presentation in a branch's importance, and pages from which entropies aren't scaled further.
-OWN_WEIGHT, MOST_BASE = 0.25, 16
-#: Priors: inside article or main; a tag or name of menus, adverts, ...; a form; a name that only has such a word.
-INSIDE, STRONG, FORM, WEAK = 0.3, -0.45, -0.4, -0.2
+OWN_WEIGHT, MOST_BASE = 0.1, 16
+#: Weight of its content against its presentation in a text node's importance: what only looks alike stays.
+TEXT_WEIGHT = 0.7
+#: Priors: inside article or main; tags and names that say what it is (menus, footers, adverts, comments); other names and page headers; a form; a name that only has such a word.
+INSIDE, CERTAIN, STRONG, FORM, WEAK = 0.3, -0.55, -0.45, -0.4, -0.2
+#: Prior of text that is mostly links.
+LINKS = -0.3
 #: Low nodes up to which they are broadcast, parts that a host is dealt over beyond that, bytes of pages handled at once.
 BROADCAST_NODES, SALTS, PAGE_BYTES = 200_000, 32, 2 << 20
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(?:/?[a-zA-Z][^>]*)?\Z", re.S | re.I)
@@ -75,14 +81,18 @@ def _step(up: tuple, tag: str, mark: str) -> tuple:
         inside = True
         if not sticky:
             hint = 0.0
-    if tag in _NOISE_TAGS or tag == "header" and not inside:
-        hint, sticky = min(hint, STRONG), True
+    if tag in _NOISE_TAGS:
+        hint, sticky = min(hint, CERTAIN), True
+    elif tag == "header" and not inside:
+        hint = min(hint, STRONG)
     elif tag == "form":
         hint = min(hint, FORM)
     for name in mark.split():
         found = set(_WORD.findall(name))
-        if found and found <= (_ARTICLE_NOISE if inside else _NOISE_WORDS):
-            hint, sticky = min(hint, STRONG), True
+        if found and found <= _ARTICLE_NOISE:
+            hint, sticky = min(hint, CERTAIN), True
+        elif found and not inside and found <= _NOISE_WORDS:
+            hint = min(hint, STRONG)
         elif not found.isdisjoint(_NOISE_WORDS):
             hint = min(hint, WEAK)
     label = tag + (f".{mark}" if mark else "")
@@ -108,22 +118,23 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, tuple]] = []
-        state, parts, at, linked = _TOP, [], 0, False
+        state, parts, at, in_link, linked = _TOP, [], 0, False, 0
 
         def flush():
             nonlocal parts, linked
             if parts:
                 text = "".join(parts)
+                share = linked * 2 > len(text)
                 text = " ".join((unescape(text) if "&" in text else text).split())
                 if text:
                     self.blocks.append((state, text))
-                    self.links[state] += linked
-                parts = []
-            linked = False
+                    self.links[state] += share
+                parts, linked = [], 0
 
         for m in _TOKEN.finditer(html):
             if m.start() > at:
                 parts.append(html[at : m.start()])
+                linked += in_link * (m.start() - at)
             at = m.end()
             tag = m[3]
             if tag is None:
@@ -132,7 +143,7 @@ class Page:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                linked = True
+                in_link = not m[2]
             if tag not in _BLOCKS:
                 continue
             flush()
@@ -166,9 +177,10 @@ def _features(page: Page):
     looks: dict[tuple, list] = {}  # chain -> prior, chars, presentation
     for state, own in texts.items():
         chars = sum(map(len, own))
-        looks[state[3]] = [_prior(state), chars, f"{len(own).bit_length()} {chars.bit_length()} {page.links[state] * 2 > len(own)}"]
+        linked = page.links[state] * 2 > len(own)
+        looks[state[3]] = [_prior(state) + LINKS * linked, chars, f"{len(own).bit_length()} {chars.bit_length()} {linked}"]
         for feature in {x for t in own for x in (_hash(t), _hash("^" + " ".join(t.split(" ", 3)[:3])))}:
-            yield state[3], _prior(state), 0, 1, feature
+            yield state[3], 0.0, 0, 1, feature
     for state, labels in page.children.items():
         look = looks.setdefault(state[3], [_prior(state), 0, ""])
         look[2] += " " + " ".join(labels)
@@ -210,10 +222,10 @@ def style_nodes(pages: DataFrame) -> DataFrame:
     columns = [F.col(c) for c in ("pages", "looks", "texts", "repeats")]
     look, content = importances(*columns)
     at_all = everywhere.groupBy("node").agg(*sums).select(F.col("node").alias("all_node"), *[(((F.col("pages") - 1) * F.coalesce(x, F.lit(0.0)) + UNKNOWN) / F.col("pages")).alias(c) for c, x in (("all_look", look), ("all_content", content))])
-    at_host = counted.groupBy("host", "node").agg(*sums, F.sum("chars").alias("chars"), F.min("prior").alias("prior"), F.min("chain").alias("chain"))
+    at_host = counted.groupBy("host", "node").agg(*sums, F.sum("chars").alias("chars"), (of(0, n * F.col("prior")) / of(0, n)).alias("prior"), F.min("chain").alias("chain"))
     blend = lambda x, everywhere_: ((F.col("pages") - 1) * F.coalesce(x, F.lit(0.0)) + SHARED_PAGES * F.col(everywhere_)) / (F.col("pages") - 1 + SHARED_PAGES)
     nodes = at_host.join(at_all, F.col("node") == F.col("all_node")).withColumns({"look": blend(look, "all_look"), "words": blend(content, "all_content")})
-    nodes = nodes.withColumn("own", F.when(F.col("texts") > 0, (F.col("look") + F.col("words")) / 2).otherwise(F.col("look")))
+    nodes = nodes.withColumn("own", F.when(F.col("texts") > 0, (1 - TEXT_WEIGHT) * F.col("look") + TEXT_WEIGHT * F.col("words")).otherwise(F.col("look")))
     # every node speaks for each branch that it is part of
     up = nodes.select("host", "node", "pages", "prior", "look", "own", "chars", F.explode(F.when(F.size("chain") > 0, F.col("chain")).otherwise(F.array("node"))).alias("branch"))
     self_ = lambda c: F.max(F.when(F.col("node") == F.col("branch"), F.col(c)))

@@ -88,7 +88,7 @@ def test_importance_equals_plain_entropies(spark):
         look = shared(min(1.0, entropy(looks, min(m, he.MOST_BASE))))
         # a text feature that is on n pages has the entropy log n / log m over them
         content = shared(1 - sum(n * math.log(n) for n in spread.values()) / sum(spread.values()) / math.log(m)) if spread else None
-        want[state[3]] = (look, (look + content) / 2 if spread else look, chars)
+        want[state[3]] = (look, (1 - he.TEXT_WEIGHT) * look + he.TEXT_WEIGHT * content if spread else look, chars)
     for chain, (look, own, _) in want.items():
         node = chain[-1] if chain else 0
         assert abs(nodes[node].own - own) < 1e-9 and nodes[node].pages == m
@@ -100,18 +100,43 @@ def test_importance_equals_plain_entropies(spark):
 
 
 def test_the_tree_decides_without_names(spark):
-    """Most blocks of the synthetic pages get the same verdict from the tree alone."""
+    """Most blocks of the synthetic pages get the same verdict without any name."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     host, _ = he.host_path(he.F.col("url"))
     nodes = he.style_nodes(pages.select(host.alias("host"), "html")).collect()
+    own = {(r.host, r.node): r.own for r in nodes}
+    parsed = [(r.host, he.Page(r.html).blocks) for r in pages.select(host.alias("host"), "html").collect()]
+    best = {}
+    for h, blocks in parsed:
+        for state, _ in blocks:
+            for x in state[3]:
+                best[h, x] = max(best.get((h, x), 0), own[h, state[3][-1]])
     with_names = {(r.host, r.node) for r in nodes if r.node and r.importance + r.prior < he.LEAST and (r.best or 0) < he.CLEAR}
-    alone = {(r.host, r.node) for r in nodes if r.node and r.importance < he.LEAST and r.pages > 1}
+    names = {}
+    for _, blocks in parsed:
+        for state, _ in blocks:
+            names[state[3][-1]] = he._prior(state)
+    alone = {(r.host, r.node) for r in nodes if r.node and r.importance + r.prior - names.get(r.node, r.prior) < he.LEAST and best.get((r.host, r.node), 0) < 1.0}
     many = {(r.host, r.node) for r in nodes if r.pages >= 8}
     same = total = 0
-    for r in pages.select(host.alias("host"), "html").collect():
-        for state, _ in he.Page(r.html).blocks:
-            path = {(r.host, x) for x in state[3]}
+    for h, blocks in parsed:
+        for state, _ in blocks:
+            path = {(h, x) for x in state[3]}
             if path <= many:
                 total += 1
-                same += path.isdisjoint(with_names) == ((r.host, state[3][-1]) not in alone)
-    assert total > 500 and same / total > 0.9
+                same += path.isdisjoint(with_names) == path.isdisjoint(alone)
+    assert total > 500 and same / total > 0.9, (same, total)
+
+
+def test_pages_that_all_look_alike_keep_their_text(spark):
+    pages = [f"<body><div>{a} {b} {c}</div></body>" for a, b, c in zip("abcdefgh", "ijklmnop", "qrstuvwx")]
+    assert texts(spark, *pages, host="plain.example") == [f"{a} {b} {c}" for a, b, c in zip("abcdefgh", "ijklmnop", "qrstuvwx")]
+
+
+def test_comments_and_sidebars_go_however_they_vary(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randrange(3, 90)))
+    many = lambda: "".join(f"<p>{prose()}</p>" for _ in range(rng.randrange(1, 20)))
+    stories = [prose() for _ in range(12)]
+    pages = [f'<body><article><p>{s}</p><section class="comments">{many()}</section></article><aside>{many()}</aside><div id="sidebar">{many()}</div></body>' for s in stories]
+    assert texts(spark, *pages) == stories
