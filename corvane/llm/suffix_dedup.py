@@ -378,7 +378,7 @@ def _with_spans(docs: DataFrame, length: int, spans_name: str) -> DataFrame:
     k = fresh(docs, "k")
     keyed, _ = numbered(docs, k)
     first = repeated_spans(keyed, k, length)
-    dealt = keyed.repartition(n, k)
+    dealt = keyed.where(F.col(k).isNotNull()).repartition(n, k)  # no number is null; said here, both joins below read one shuffle
     opened = first.where(f"kind = {_OPEN}").groupBy(F.col("doc").alias("open_doc")).agg(F.collect_list(F.struct("begin", "end", "at")).alias("open"))
 
     def runs(batches):
@@ -394,8 +394,9 @@ def _with_spans(docs: DataFrame, length: int, spans_name: str) -> DataFrame:
                 rows["key"], rows["key2"] = identifiers(sums, a, z + length, q)
                 rows["key2"] ^= _mix(((core - a) * 4096 + (z - a)).astype(np.uint64))
                 rows["doc"], rows["at"], rows["more"] = doc, a, z - a
-                for j in range(row["text"].shape[0]):  # the stretch, zeros behind it
-                    rows["text"][:, j] = np.where(a + j < z + length, data[np.minimum(a + j, len(data) - 1)], 0)
+                if len(i):
+                    place = a[:, None] + np.arange(row["text"].shape[0])
+                    rows["text"] = np.where(place < (z + length)[:, None], data[np.minimum(place, len(data) - 1)], 0)  # the stretch, zeros behind it
                 got.append(rows)
             yield from _deal(np.concatenate([np.zeros(0, row), *got]), ["bucket", "bucket2"], length, parts)
         _tidy()
@@ -432,7 +433,9 @@ def _with_spans(docs: DataFrame, length: int, spans_name: str) -> DataFrame:
         order, _, head = _firsts([rows["key"], rows["key2"]], rows["doc"], rows["at"])
         return [_runs(rows[order[~head]], length)]
 
-    texts = dealt.join(opened, dealt[k] == opened["open_doc"]).select(F.col(k).alias("k"), "text", "open")
+    # with all columns, so that the shuffle of the texts is the one of the last join too
+    rest = F.struct(*[c for c in dealt.columns if c not in (k, "text")] or [F.lit(0)])
+    texts = dealt.join(opened, dealt[k] == opened["open_doc"]).select(F.col(k).alias("k"), "text", "open", rest.alias("rest"))
     second = _by_part(texts.mapInArrow(runs, _SCHEMA), parts, refine)
     third = _by_part(second.mapInArrow(windows, _SCHEMA), parts, last)
     spans = first.where(f"kind = {_SPANS}").select("doc", "begin", "end").unionAll(third.select("doc", "begin", "end")).groupBy(F.col("doc").alias("spans_doc")).agg(F.collect_list(F.struct("begin", "end")).alias(spans_name))
