@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing over characters, in DataFrame functions only.
 
-Every run of k code points has a rolling hash, a cyclic polynomial: the 64-bit hashes of
-its characters, each rotated by its place, xor-ed. The hash of 2m characters is that of
-the first m, rotated by m, xor that of the next m, so k characters take log2(k) steps
-for all positions at once. Of every w consecutive hashes the least is chosen (all 64 bits
+Every run of k code points has a rolling hash of the gear kind: the 64-bit hashes of its
+characters, each shifted by the number of those behind it, xor-ed; the next one is the
+last, shifted by one, with a character less and one more. That of 2m characters is that of
+the first m, shifted by m, xor that of the next m, so k characters take log(k) steps for
+all positions at once. Of every w consecutive hashes the least is chosen (all 64 bits
 count), the rightmost one in ties, and its position kept: any run of w + k - 1 characters
 that two texts share gives both the same chosen hash at the same place of the run. Texts
 with fewer hashes than w are one window, texts with fewer than k characters are one k-gram.
@@ -33,12 +34,14 @@ def _powers(n: int) -> list[int]:
 
 def gram_hashes(text: Column, k: int = K) -> Column:
     """array<long>: the rolling hash of each run of k code points; of a shorter text, one of its characters; none of an empty one."""
-    out = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
+    if k > 32:
+        raise ValueError("k is at most 32: more would be shifted out")
 
     def doubled(m: int):
         # a null where the run would pass the end
-        return lambda h: F.transform(h, lambda x, i: F.shiftleft(x, m).bitwiseOR(F.shiftrightunsigned(x, 64 - m)).bitwiseXOR(F.get(h, i + m)))
+        return lambda h: F.transform(h, lambda x, i: F.shiftleft(x, m).bitwiseXOR(F.get(h, i + m)))
 
+    out = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
     for m in _powers(k):
         out = let(out, doubled(m))
     size = F.char_length(text)
@@ -49,12 +52,11 @@ def chosen(text: Column, k: int = K, w: int = W) -> Column:
     """array<struct<hash long, pos int, first int>>: the chosen hashes in order of position, with the first window that chooses each; empty for an empty text."""
 
     def picked(h: Column) -> Column:
-        less = lambda a, b: F.coalesce(F.get(h, a) < F.get(h, b), F.lit(True))  # noqa: E731  a window ends with the text
-        first = F.transform(h, lambda x, i: F.when(F.coalesce(x < F.get(h, i + 1), F.lit(True)), i).otherwise(i + 1))
-        at = first if w > 1 else F.transform(h, lambda x, i: i)
+        # a window ends with the text: what would be behind it is null, and nulls are never chosen
+        at = F.transform(h, lambda x, i: F.when(F.get(h, i + 1) <= x, i + 1).otherwise(i)) if w > 1 else F.transform(h, lambda x, i: i)
 
         def wider(m: int):
-            return lambda p: F.transform(p, lambda a, i: F.when(less(a, F.get(p, i + m)), a).otherwise(F.get(p, i + m)))
+            return lambda p: F.transform(p, lambda a, i: F.when(F.get(h, F.get(p, i + m)) <= F.get(h, a), F.get(p, i + m)).otherwise(a))
 
         for m in _powers(w)[1:]:
             at = let(at, wider(m))
@@ -76,14 +78,13 @@ def as_string(fp: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared hashes over all hashes of two fingerprints; 1 if both are empty."""
-    ha, hb = F.array_distinct(a["hash"]), F.array_distinct(b["hash"])
+    """Shared elements over all elements of two arrays without repeats; 1 if both are empty."""
 
     def share(both: Column) -> Column:
-        total = F.size(ha) + F.size(hb) - both
+        total = F.size(a) + F.size(b) - both
         return F.when(total == 0, F.lit(1.0)).otherwise(both / total)
 
-    return let(F.size(F.array_intersect(ha, hb)), share)
+    return let(F.size(F.array_intersect(a, b)), share)
 
 
 def with_next(docs: DataFrame, more: dict | None = None) -> DataFrame:
@@ -93,7 +94,7 @@ def with_next(docs: DataFrame, more: dict | None = None) -> DataFrame:
     ghosts, to the range before it (those of the first range to the last one), so one
     shuffle does and no range is larger than its share.
     """
-    n = n_partitions(docs.sparkSession)
+    n = 2 * n_partitions(docs.sparkSession)  # of the rows, not the bytes: smaller ones even out
     bounds = range_bounds(docs, n)
     least = docs.agg(F.min("doc_id").alias("m"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     first = F.col("doc_id").isNull() if least["nulls"] else F.col("doc_id") == F.lit(least["m"])
@@ -103,10 +104,11 @@ def with_next(docs: DataFrame, more: dict | None = None) -> DataFrame:
     places = F.filter(F.array(F.struct(F.col("own").alias("r"), F.lit(False).alias("ghost")), F.struct(F.when(starts, F.col("own") - 1).alias("r"), F.lit(True).alias("ghost")), F.struct(F.when(first, F.lit(len(bounds))).alias("r"), F.lit(True).alias("ghost"))), lambda x: x["r"].isNotNull() & (x["r"] >= 0))
     dealt = rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.r", "p.ghost")
     dealt = dealt.withColumn("late", F.col("ghost") & (F.col("r") == len(bounds)))  # the first document, after the last
-    w = Window.partitionBy("r").orderBy("late", F.col("doc_id").asc_nulls_first(), "ghost", "text")
-    out = dealt.withColumn("next_text", F.lead("text").over(w))
-    if more:  # after the shuffle, so that they aren't part of it
-        out = out.withColumns(more).withColumns({f"next_{c}": F.lead(c).over(w) for c in more})
+    order = ["late", F.col("doc_id").asc_nulls_first(), "ghost", "text"]
+    w = Window.partitionBy("r").orderBy(*order)
+    # dealt and sorted before more is made, so that only the texts are moved
+    out = dealt.repartition(n, "r").sortWithinPartitions("r", *order).withColumns(more or {})
+    out = out.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("text", *(more or {}))})
     return out.where("not ghost").select("doc_id", "text", "next_text", *[x for c in more or {} for x in (c, f"next_{c}")])
 
 
@@ -136,7 +138,8 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     rows = rows.withColumns({"kept": F.col("n_chars") - cut, "tail": F.least(cut, F.char_length("next_text"))})
     edited = F.concat(F.substring("text", F.lit(1), F.col("kept")), F.substring("next_text", F.lit(1), F.col("tail")))
     rows = rows.select("doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), "a", _edited(k, w).alias("b"), F.col("next_a").alias("c"))
-    return rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    rows = rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("b")).alias("edited_fingerprint"), *[F.array_distinct(F.col(x)["hash"]).alias(x) for x in "abc"])
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

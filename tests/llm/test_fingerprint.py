@@ -36,13 +36,12 @@ def test_edits_and_likeness(spark):
 def rolled(text, k):
     """Every run's hash from its own characters."""
     mask = (1 << 64) - 1
-    rotate = lambda x, n: ((x << n % 64) | (x >> (64 - n % 64))) & mask if n % 64 else x
     char = lambda c: xxhash.xxh64_intdigest(c.encode(), seed=42)
     out = []
     for i in range(max(0, len(text) - k + 1)):
         h = 0
         for j in range(k):
-            h ^= rotate(char(text[i + j]), k - 1 - j)
+            h ^= char(text[i + j]) << (k - 1 - j) & mask
         out.append(h)
     if text and not out:
         out = [xxhash.xxh64_intdigest(text.encode(), seed=42)]
