@@ -18,10 +18,12 @@ def byte_tokens(text: Column, tags: dict[str, int] | None = None, limit: int = 1
 
 
 def byte_array(hex_bytes: Column, length: int) -> Column:
-    """Hexadecimal bytes as array<int>, padded with 0 to length."""
-    n = F.length(hex_bytes) / 2
-    values = F.transform(F.filter(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: i < n), lambda i: F.conv(F.substring(hex_bytes, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return F.concat(values, F.array_repeat(F.lit(0), (F.lit(length) - F.size(values)).cast("int")))
+    """Hexadecimal bytes as array<int>, cut to length or padded with 0 to it; null as none."""
+    # a Latin-1 character's code is its byte; no text splits into one empty character, whose code is 0 too
+    chars = F.split(F.decode(F.unhex(F.substring(F.coalesce(hex_bytes, F.lit("")), 1, 2 * length)), "ISO-8859-1"), "")
+    values = F.transform(chars, lambda c: F.ascii(c))
+    # each value is bound to a variable before it is used twice, and hex_bytes stands outside of every lambda: it is evaluated once a row
+    return F.element_at(F.transform(F.array(values), lambda v: F.concat(v, F.array_repeat(F.lit(0), F.lit(length) - F.size(v)))), 1)
 
 
 def _delay(channel: Column, delays) -> Column:

@@ -77,8 +77,9 @@ def byte_tokens(spark, d):
 )
 def padded_tokens(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
-    arr = tok.byte_array(tok.byte_tokens(F.col("text")), 1024)
-    return c.select("conv_id", "turn", F.aggregate(F.transform(arr, lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"), F.size(arr).cast("long").alias("size"))
+    padded = c.select("conv_id", "turn", tok.byte_array(tok.byte_tokens(F.col("text")), 1024).alias("a"))
+    checksum = F.aggregate(F.transform("a", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return padded.select("conv_id", "turn", checksum.alias("checksum"), F.size("a").cast("long").alias("size"))
 
 
 LOGITS = "l as (select vec_id as row, unnest(range(0, 64)) as token, cast(round(exp(10 * round(unnest(embedding)::double, 6)) * 1000) as bigint) as weight from embeddings), k as (select * from (select *, row_number() over (partition by row order by weight desc, token) as rank from l) where rank <= 45)"

@@ -1,9 +1,11 @@
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import plans
 from corvane.functions import scalar as S
 from corvane.operators import catalog, tokens, vectors
 from corvane.operators import signal as sig
@@ -68,6 +70,23 @@ def test_byte_tokens(spark):
     assert spark.createDataFrame([("[S1]a[S2]",)], "t string").select(tokens.byte_tokens(F.col("t"))).first()[0] == "016102"
 
 
+def test_byte_array(spark):
+    texts = [None, "", "a", "\x00b", "é漢\x7f\x80ÿ", "x" * 9, "é" * 5]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.a for r in df.select("i", tokens.byte_array(tokens.byte_tokens(F.col("t")), 9).alias("a")).collect()}
+    assert [got[i] for i in range(len(texts))] == [list((t or "").encode()[:9].ljust(9, b"\0")) for t in texts]
+
+
+def test_padded_tokens_takes_every_text_once(spark, tmp_path):
+    # a text used to be encoded anew for each of its bytes: these rows took minutes
+    rows = [(i, 0, chr(97 + i % 26) * 700 + "é" * (i % 300)) for i in range(4000)] + [(4000, 0, None), (4001, 0, "")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.monotonic()
+    got = {r.conv_id: (r.checksum, r["size"]) for r in plans.queries()["padded_tokens"](spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {i: (sum(v * (k + 1) for k, v in enumerate((t or "").encode()[:1024])), 1024) for i, _, t in rows}
+
+
 def test_wildcards_and_types(spark):
     df = spark.createDataFrame([("A.PT",), ("a.pth",), (None,)], "p string")
     assert [r[0] for r in df.select(catalog.wildcard(F.col("p"), "*.pt")).collect()] == [True, False, False]
