@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next one's docs. All but the
-last return the columns of documents: doc_id, text, lang, source, n_chars.
+last return the columns of documents: doc_id, text, lang, source, n_chars. Stages that send
+texts to Python workers limit the bytes of the session's Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,15 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import gone_at_exit, scratch
+from corvane.llm.common import gone_at_exit, scratch, small_batches
 from corvane.llm.decontaminate import decontaminate
 from corvane.llm.near_dedup import near_dedup
 from corvane.llm.packing import pack
 from corvane.llm.quality import THRESHOLD, fit_quality, fold, score_quality
 from corvane.llm.suffix_dedup import dedup_text
 
-#: Bytes of words that a packing worker remembers: the workers live on through the other stages, which need the memory.
-MEMO_BYTES = 16 << 20
+#: Bytes of words that a packing worker remembers, until its task ends: the workers live on through the other stages, which need the memory.
+MEMO_BYTES = 8 << 20
+#: Bytes of text that it encodes together: their words' arrays take many times that.
+TEXT_BYTES = 1 << 20
 #: Near-duplicates share 80 % of their 5-word shingles; with 9 chunks of 5 min-hashes such a pair shares no key with a probability of about 6e-6.
 NEAR = {"words": 5, "share": 80, "chunks": 9, "width": 5}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,6 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are scored as one empty line; repeated rows go or stay together;
     a null doc_id is no reason to go; an empty table stays empty.
     """
+    small_batches(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 5) != 0)
     return score_quality(docs.select(*COLUMNS), model).where(F.col("score") >= THRESHOLD).select(*COLUMNS)
 
@@ -40,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows leave one; texts without words (null, empty) are near-duplicates of
     nothing but their own repeated rows; columns beyond those of documents go.
     """
+    small_batches(spark)
     return near_dedup(docs, **NEAR).select(*COLUMNS)
 
 
@@ -48,6 +53,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Every row stays: a null text stays null (n_chars too), a text may become empty. "Earlier" is by doc_id, nulls first.
     """
+    small_batches(spark)
     return dedup_text(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -58,7 +64,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the rest into sequences of 2048 ids; a row for each piece, with its ids. Null and empty texts are their end id; repeated rows are packed as often."""
-    return pack(docs, with_ids=True, memo_bytes=MEMO_BYTES)
+    small_batches(spark)
+    return pack(docs, with_ids=True, memo_bytes=MEMO_BYTES, keep=False, text_bytes=TEXT_BYTES)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontamination", decontamination), ("packing", packing)]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fresh, let, lower_ascii, numbered, stored
+from corvane.llm.common import by_bytes, fresh, let, lower_ascii, numbered, stored, trimmed
 
 WORDS, SHARE = 3, 85
 CHUNKS, WIDTH, ERRORS, BITS = 8, 6, 1, 16
@@ -43,6 +43,8 @@ LARGE = 16
 TILE = 1024
 #: Rows of (id) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Bytes of hashes, and of the texts of pairs, that a worker handles at once.
+HASH_BYTES, PAIR_BYTES = 4 << 20, 4 << 20
 _SPACE = r"[\x20\x09-\x0D]+"
 _RNG = np.random.default_rng(20240611)
 _FACTORS = _RNG.integers(1, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,7 +114,7 @@ def signatures(docs: DataFrame, words: int = WORDS, chunks: int = CHUNKS, width:
     n_keys = len(_keys(chunks, width))
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, "h", HASH_BYTES):
             col = b.column("h")
             offsets, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).view(np.uint64)
             sets = [np.unique(values[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
@@ -123,7 +125,7 @@ def signatures(docs: DataFrame, words: int = WORDS, chunks: int = CHUNKS, width:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * n_keys)]), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(n), lists], names=["k", "d0", "d1", "n", "keys"])
 
-    return docs.select("k", shingle_hashes(F.col("text"), words).alias("h")).mapInArrow(run, "k long, d0 long, d1 long, n long, keys array<long>")
+    return docs.select("k", shingle_hashes(F.col("text"), words).alias("h")).mapInArrow(trimmed(run), "k long, d0 long, d1 long, n long, keys array<long>")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> DataFrame:
@@ -131,7 +133,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> Dat
 
     def run(batches):
         last, held, order = None, set(), {}
-        for x in batches:
+        for x in by_bytes(batches, ("ta", "tb"), PAIR_BYTES):
             linked, rest, shared = [], [], []
             for a, b in zip(x.column("ta"), x.column("tb").to_pylist()):
                 if b != last:
@@ -147,7 +149,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> Dat
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(linked, pa.bool_()), pa.array(rest, pa.int64()), pa.array(shared, pa.list_(pa.int64()))], names=["a", "b", "linked", "rest", "shared"])
 
     joined = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, rest long, shared array<long>")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long, linked boolean, rest long, shared array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:

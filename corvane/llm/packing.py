@@ -58,12 +58,13 @@ class OpenWindows:
         return [self.windows[k] for _, k in self.rooms]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int | None = 1, open_windows: int = OPEN_WINDOWS, merge_partitions: int = MERGE_PARTITIONS, with_ids: bool = False, memo_bytes: int = tokens.MEMO_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int | None = 1, open_windows: int = OPEN_WINDOWS, merge_partitions: int = MERGE_PARTITIONS, with_ids: bool = False, memo_bytes: int = tokens.MEMO_BYTES, keep: bool = True, text_bytes: int = tokens.TEXT_BYTES) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids with with_ids.
 
     docs: doc_id, text (others are ignored). A null or empty text has only the end id
     (none at all, and no row, without an end id). Null doc_ids and repeated rows are
-    packed as they come. memo_bytes: what a worker remembers of words. sequence_id is unique, not dense; offsets are gapless from 0.
+    packed as they come. memo_bytes: what a worker remembers of words; without keep, it forgets
+    them and the tokenizer when a task ends. text_bytes: texts that are encoded together. sequence_id is unique, not dense; offsets are gapless from 0.
     """
     tokenizer = tokenizer or tokens.default_path()
     schema = _COLUMNS + (", ids array<int>" if with_ids else "")
@@ -81,7 +82,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
                 rows.append((d, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, number, at, state, ids if with_ids else None))
                 at += len(ids)
 
-        for b in by_bytes(batches, "text", tokens.TEXT_BYTES):
+        for b in by_bytes(batches, "text", text_bytes):
             flat, counts = enc.encode_many(b.column("text"))
             stops = np.cumsum(counts)
             for d, i, j in zip(b.column("doc_id").to_pylist(), (stops - counts).tolist(), stops.tolist()):
@@ -97,12 +98,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
                             emit(done[:k], 0)
                             done = done[k + 1 :]
                         emit(done, 0)
-                if len(rows) >= 4096:
+                if len(rows) >= (1024 if with_ids else 4096):
                     yield _batch(rows, with_ids)
                     rows = []
         for window in opened.rest():
             emit(window, 1)
         yield _batch(rows, with_ids)
+        if not keep:
+            del enc
+            tokens.forget()
 
     placed = stored(docs.select("doc_id", "text").mapInArrow(trimmed(online), f"{_COLUMNS}, open int, ids array<int>"), "packed")
     columns = [c.split()[0] for c in schema.split(", ")]

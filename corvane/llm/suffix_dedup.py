@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import by_bytes, fresh, give_back, n_partitions, numbered, stored
 
 LENGTH = 100
-#: Bytes handled at once by one worker; a longer document is handled alone.
-CHUNK = 1 << 19
+#: Bytes handled at once by one worker, few enough that the hashes of all their positions stay in its cache; a longer document is handled alone.
+CHUNK = 1 << 17
 #: Bytes of text that a batch is cut to; repeats within such a slice are settled without a shuffle.
 SLICE = 8 << 20
 #: Runs that the windows of an anchor are cut into in round 1, and groups of rows that a shuffle partition is handled in.

@@ -202,3 +202,8 @@ def encoder(path: str, memo_bytes: int = MEMO_BYTES) -> Encoder:
         _ENCODERS.clear()
         _ENCODERS[path, memo_bytes] = Encoder(path, memo_bytes)
     return _ENCODERS[path, memo_bytes]
+
+
+def forget() -> None:
+    """Let this worker's encoder go: tokenizer and words."""
+    _ENCODERS.clear()
