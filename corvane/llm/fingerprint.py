@@ -48,33 +48,70 @@ def gram_hashes(text: Column, k: int = K) -> Column:
     return F.when(size >= k, F.slice(out, 1, F.greatest(size - k + 1, F.lit(1)))).when(size > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<long>"))
 
 
-def chosen(text: Column, k: int = K, w: int = W) -> Column:
-    """array<struct<hash long, pos int, first int>>: the chosen hashes in order of position, with the first window that chooses each; empty for an empty text."""
+def _places(h: Column, w: int) -> Column:
+    """array<int>, ascending: every position of h that any window may choose, and only some others; h is not empty.
+
+    A window holds a whole block of w / 2 positions: that of a position in it, the one
+    before or the one behind. So a position is left out if its hash is larger than the least of each.
+    """
+    b = w // 2
+    if b < 2:
+        return F.sequence(F.lit(0), F.size(h) - 1)
+    least = F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / b).cast("int")), lambda j: F.array_min(F.slice(h, j * b + 1, F.lit(b))))
+
+    def kept(m: Column):
+        def block(x: Column, j: Column) -> Column:
+            rows = F.sequence(j * b, F.least(j * b + b, F.size(h)) - 1)
+            return let(F.greatest(F.get(m, j - 1), x, F.get(m, j + 1)), lambda most: F.filter(rows, lambda i: F.get(h, i) <= most))
+
+        return F.flatten(F.transform(m, block))
+
+    return let(least, kept)
 
-    def picked(h: Column) -> Column:
-        # a window ends with the text: what would be behind it is null, and nulls are never chosen
-        at = F.transform(h, lambda x, i: F.when(F.get(h, i + 1) <= x, i + 1).otherwise(i)) if w > 1 else F.transform(h, lambda x, i: i)
 
-        def wider(m: int):
-            return lambda p: F.transform(p, lambda a, i: F.when(F.get(h, F.get(p, i + m)) <= F.get(h, a), F.get(p, i + m)).otherwise(a))
+def winnowed(h: Column, w: int = W) -> Column:
+    """chosen() of an array<long> of hashes, which is used often: bind it with let.
 
-        for m in _powers(w)[1:]:
-            at = let(at, wider(m))
-        count = F.greatest(F.size(h) - w + 1, F.lit(1))
+    A position is chosen if a window holds it but neither the nearest smaller hash before
+    it nor the nearest one behind it that is no larger: if the window behind the former
+    doesn't start later than that which ends before the latter. Both are looked for among
+    _places only, as a window's least hash is always there.
+    """
+    _powers(w)
+
+    def among(p: Column, v: Column) -> Column:
+        def entry(x: Column, j: Column) -> Column:
+            taken = F.struct(x.alias("hash"), F.get(p, j).alias("pos"))
+            if w == 1:
+                return taken
+            first = last = F
+            for i in range(1, w):  # so many steps reach as far as any window with x
+                first = first.when(F.get(v, j - i) < x, F.get(p, j - i) + 1)
+                last = last.when(F.get(v, j + i) <= x, F.get(p, j + i) - w)
+            return F.when(first.otherwise(0) <= last.otherwise(F.greatest(F.size(h) - w, F.lit(0))), taken)
+
+        return F.filter(F.transform(v, entry), lambda e: e.isNotNull())
 
-        def distinct(p: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(0), count - 1), lambda s: (s == 0) | (F.get(p, s) != F.get(p, s - 1)))
-            return F.transform(starts, lambda s: F.struct(F.get(h, F.get(p, s)).alias("hash"), F.get(p, s).alias("pos"), s.alias("first")))
+    some = let(_places(h, w), lambda p: let(F.transform(p, lambda a: F.get(h, a)), lambda v: among(p, v)))
+    return F.when(F.size(h) > 0, some).otherwise(F.array().cast("array<struct<hash:bigint,pos:int>>"))
+
+
+def chosen(text: Column, k: int = K, w: int = W) -> Column:
+    """array<struct<hash long, pos int>>: the chosen hashes in order of position; empty for an empty text."""
+    return let(gram_hashes(text, k), lambda h: winnowed(h, w))
 
-        none = F.array().cast("array<struct<hash:bigint,pos:int,first:int>>")
-        return F.when(F.size(h) > 0, let(at, distinct)).otherwise(none)
 
-    return let(gram_hashes(text, k), picked)
+def _up_to(fp: Column, start: Column, w: int) -> Column:
+    """Of chosen(), what the window at start and those before it choose; start is that of a whole window."""
+    inside = F.filter(fp, lambda x: (x["pos"] >= start) & (x["pos"] < start + w))
+    # its own choice is the least of those it holds, the rightmost one in ties
+    own = F.array_min(F.transform(inside, lambda x: F.struct(x["hash"].alias("hash"), (-x["pos"]).alias("behind"))))
+    return let(-own["behind"], lambda at: F.filter(fp, lambda x: x["pos"] <= at))
 
 
 def as_string(fp: Column) -> Column:
     """hash:position of each chosen hash, in hexadecimal, joined by spaces."""
-    return F.array_join(F.transform(fp, lambda x: F.concat(F.lower(F.hex(x["hash"])), F.lit(":"), F.lower(F.hex(x["pos"].cast("long"))))), " ")
+    return F.lower(F.array_join(F.transform(fp, lambda x: F.concat(F.hex(x["hash"]), F.lit(":"), F.hex(x["pos"].cast("long")))), " "))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -118,10 +155,11 @@ def _edited(k: int, w: int) -> Column:
     whole = F.col("kept") < run  # no window before the seam
     begin = F.when(whole, 0).otherwise(F.col("kept") - run + 1)
     seam = F.concat(F.substring("text", begin + 1, F.col("kept") - begin), F.substring("next_text", F.lit(1), F.when(whole, F.col("tail")).otherwise(F.least(F.col("tail"), F.lit(run - 1)))))
-    moved = lambda x, by, first: F.struct(x["hash"].alias("hash"), (x["pos"] + by).alias("pos"), first.alias("first"))
-    before = F.filter("a", lambda x: ~whole & (x["first"] <= F.col("kept") - run))
-    across = F.transform(chosen(seam, k, w), lambda x: moved(x, begin, x["first"] + begin))
-    after = F.transform(F.filter("next_a", lambda x: ~whole & (x["first"] <= F.col("tail") - run)), lambda x: moved(x, F.col("kept"), x["first"] + F.col("kept")))
+    moved = lambda x, by: F.struct(x["hash"].alias("hash"), (x["pos"] + by).alias("pos"))
+    none = F.slice("a", 1, 0)
+    before = F.when(whole, none).otherwise(_up_to(F.col("a"), F.col("kept") - run, w))
+    across = F.transform(chosen(seam, k, w), lambda x: moved(x, begin))
+    after = F.when(whole | (F.col("tail") < run), none).otherwise(F.transform(_up_to(F.col("next_a"), F.col("tail") - run, w), lambda x: moved(x, F.col("kept"))))
     joined = F.concat(before, across, after)
     return let(joined, lambda x: F.filter(x, lambda e, i: (i == 0) | (e["pos"] != F.get(x, i - 1)["pos"])))
 

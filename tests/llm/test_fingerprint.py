@@ -58,6 +58,29 @@ def winnow(text, k, w):
     return out
 
 
+def picks(grams, w):
+    """Every window's least hash, the rightmost one in ties."""
+    ends = range(max(1, len(grams) - w + 1) if grams else 0)
+    at = sorted({min(range(i, min(i + w, len(grams))), key=lambda p: (grams[p], -p)) for i in ends})
+    return [(grams[p], p) for p in at]
+
+
+def test_choices_among_few_places(spark):
+    rng = random.Random(8)
+    long = lambda: rng.randrange(-(1 << 63), 1 << 63)
+    rows = [[long() for _ in range(n)] for n in [*range(0, 6), 15, 16, 17, 31, 32, 33, 47, 48, 49, 63, 64, 65, 200, 3000]]
+    rows += [[rng.randrange(v) for _ in range(n)] for v in (1, 2, 3, 20) for n in (7, 31, 33, 150)]
+    rows += [list(range(150)), list(range(150, 0, -1)), [i % 37 for i in range(300)], [-i % 37 for i in range(300)], [abs(i % 40 - 20) for i in range(300)], [(1 << 63) - 1] * 90]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, h array<long>")
+    for w in (1, 2, 4, 8, fp.W):
+        for r in df.select("i", fp.winnowed(fp.F.col("h"), w).alias("c")).collect():
+            assert [tuple(x) for x in r.c] == picks(rows[r.i], w), (w, r.i)
+    # what is looked at one by one are few of the positions, with every choice among them
+    whole = spark.createDataFrame([([long() for _ in range(40_000)],)], "h array<long>")
+    p, c = whole.select(fp._places(fp.F.col("h"), fp.W), fp.winnowed(fp.F.col("h"))["pos"]).first()
+    assert p == sorted(set(p)) and set(c) <= set(p) and len(p) < 40_000 / 8
+
+
 def share(a, b):
     a, b = {h for h, _ in a}, {h for h, _ in b}
     return len(a & b) / len(a | b) if a | b else 1.0
