@@ -5,7 +5,9 @@ holds at most ``open_windows`` open windows; a remainder goes to the fullest one
 fits (best fit), a new window is opened while there is room, else the fullest is emitted
 and replaced. What is still open at a partition's end (at most open_windows windows) is
 merged, largest first and best fit again, with those of up to ``merge_partitions``
-partitions, so no task ever holds more than open_windows * merge_partitions windows.
+partitions. Only the windows' numbers and how full they are take part in that: their pieces
+are moved by a join, so no task ever holds more than open_windows * merge_partitions numbers
+at once, and no ids go back to Python.
 """
 
 from __future__ import annotations
@@ -26,6 +28,15 @@ SIZE, OPEN_WINDOWS, MERGE_PARTITIONS = 2048, 64, 64
 _COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Ids of merged windows lie above those of partitions.
 _MERGED = 1 << 62
+#: Pieces that a worker collects before it returns them, and ids where it returns those too.
+ROWS, IDS = 4096, 1 << 18
+
+
+def _cut(ids: np.ndarray, size: int):
+    """(start, piece) of ids; a last piece shorter than size doesn't hold on to the ids before it, as it may wait in an open window."""
+    for start in range(0, len(ids), size):
+        piece = ids[start : start + size]
+        yield start, piece if len(piece) == size or not start else piece.copy()
 
 
 class OpenWindows:
@@ -72,15 +83,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
     def online(batches):
         enc, part = tokens.encoder(tokenizer, memo_bytes), TaskContext.get().partitionId()
         tail = np.array([] if end_id is None else [end_id], np.int32)
-        opened, emitted, rows = OpenWindows(open_windows, size), 0, []
+        opened, emitted, held, rows = OpenWindows(open_windows, size), 0, 0, []
 
         def emit(window, state):
-            nonlocal emitted
+            nonlocal emitted, held
             at, number = 0, (part << 32) + emitted
             emitted += 1
             for _, (d, start, ids, n) in window:
                 rows.append((d, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, number, at, state, ids if with_ids else None))
                 at += len(ids)
+            held += at if with_ids else 0
 
         for b in by_bytes(batches, "text", text_bytes):
             flat, counts = enc.encode_many(b.column("text"))
@@ -88,8 +100,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
             for d, i, j in zip(b.column("doc_id").to_pylist(), (stops - counts).tolist(), stops.tolist()):
                 ids = np.concatenate([flat[i:j], tail])
                 n = len(ids)
-                for start in range(0, n, size):
-                    piece = (d, start, ids[start : start + size], n)
+                for start, part_ids in _cut(ids, size):
+                    piece = (d, start, part_ids, n)
                     if n - start >= size:
                         emit([(0, piece)], 0)
                     elif done := opened.place(n - start, piece):
@@ -98,9 +110,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
                             emit(done[:k], 0)
                             done = done[k + 1 :]
                         emit(done, 0)
-                if len(rows) >= (1024 if with_ids else 4096):
+                if len(rows) >= ROWS or held >= IDS:
                     yield _batch(rows, with_ids)
-                    rows = []
+                    rows, held = [], 0
         for window in opened.rest():
             emit(window, 1)
         yield _batch(rows, with_ids)
@@ -110,27 +122,25 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
 
     placed = stored(docs.select("doc_id", "text").mapInArrow(trimmed(online), f"{_COLUMNS}, open int, ids array<int>"), "packed")
     columns = [c.split()[0] for c in schema.split(", ")]
-    groups = placed.where("open = 1").withColumn("g", F.expr(f"shiftright(sequence_id, 32) div {merge_partitions}"))
+    left = placed.where("open = 1")
+    windows = left.groupBy("sequence_id").agg(F.sum("length").alias("used")).withColumn("g", F.expr(f"shiftright(sequence_id, 32) div {merge_partitions}"))
 
     def merge(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
-        old, n = t.column("sequence_id").to_numpy(), t.column("length").to_numpy()
-        numbers, first = np.unique(old, return_index=True)
-        used = np.add.reduceat(n, first) if len(n) else np.zeros(0, np.int64)
-        rooms, base, count, to = [], _MERGED + (int(t.column("g")[0].as_py()) << 32), 0, {}
-        for k in sorted(range(len(numbers)), key=lambda k: (-used[k], numbers[k])):
-            u = int(used[k])
+        t = table.sort_by([("used", "descending"), ("sequence_id", "ascending")])
+        rooms, base, count, to, shift = [], _MERGED + (int(t.column("g")[0].as_py()) << 32), 0, [], []
+        for u in t.column("used").to_pylist():
             if (i := bisect_left(rooms, (u, -1))) < len(rooms):
                 room, w = rooms.pop(i)
             else:
                 room, w, count = size, count, count + 1
-            to[int(numbers[k])] = (base + w, size - room)
+            to.append(base + w)
+            shift.append(size - room)
             insort(rooms, (room - u, w))
-        moved = [to[int(x)] for x in old]
-        out = {c: t.column(c) for c in columns} | {"sequence_id": pa.array([x for x, _ in moved], pa.int64()), "offset": pa.array(t.column("offset").to_numpy() + np.array([x for _, x in moved], np.int64), pa.int64())}
-        return pa.table({c: out[c] for c in columns})
+        return pa.table({"old": t.column("sequence_id"), "to": pa.array(to, pa.int64()), "shift": pa.array(shift, pa.int64())})
 
-    return placed.where("open = 0").select(*columns).unionAll(groups.groupBy("g").applyInArrow(merge, schema))
+    moves = windows.groupBy("g").applyInArrow(merge, "old long, to long, shift long")
+    moved = left.join(moves, left["sequence_id"] == moves["old"]).withColumns({"sequence_id": F.col("to"), "offset": F.col("offset") + F.col("shift")})
+    return placed.where("open = 0").select(*columns).unionAll(moved.select(*columns))
 
 
 def _batch(rows: list, with_ids: bool) -> pa.RecordBatch:

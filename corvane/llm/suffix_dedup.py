@@ -23,8 +23,8 @@ that holds for all their windows, which take no part in later rounds. "First" is
 Every round reduces within a batch before it shuffles, so a passage that a third of the
 documents share is sent once for each batch. A bucket with many different stretches in a
 batch is open for sure: its members are dealt out by their stretches (its home part only
-gets a marker), and the next round joins what that separates. The text of open runs goes
-along from round 1 to round 2.
+gets a marker), and the next round joins what that separates. The text of runs goes along
+to round 1, where the worker that settles a part makes the windows of its open runs.
 """
 
 from __future__ import annotations
@@ -194,7 +194,7 @@ def _firsts(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray):
 _ROW = np.dtype([("bucket", "<u8"), ("key", "<u8"), ("key2", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("before", "u1"), ("more", "u1"), ("mark", "u1")])
 """A stretch: bucket, identifiers, the first window's start is at - before, `more` windows follow it."""
 _SCHEMA = "part int, kind int, doc long, begin int, end int, at int, data binary"
-_PARTS, _SPANS, _OPEN, _RUNS = 0, 1, 2, 3
+_PARTS, _SPANS, _OPEN = 0, 1, 2
 
 
 def _window_row() -> np.dtype:
@@ -237,14 +237,14 @@ def _intervals(kind: int, doc, begin, end, at=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(np.full(n, kind, np.int32)), pa.array(np.ascontiguousarray(doc), pa.int64()), of(begin), of(end), pa.nulls(n, pa.int32()) if at is None else of(at), pa.nulls(n, pa.binary())], names=_NAMES)
 
 
-def _send(rows: np.ndarray, part: np.ndarray, kind: int = _PARTS) -> pa.RecordBatch:
+def _send(rows: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
     """A row with the packed rows of each part."""
     order = np.argsort(part, kind="stable")
     rows, part = rows[order], part[order]
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
     n = len(cuts)
     data = [_blob(rows[i:j]) for i, j in zip(cuts, [*cuts[1:], len(part)])]
-    return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 3, pa.array(data, pa.binary())], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(np.full(n, _PARTS, np.int32)), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 3, pa.array(data, pa.binary())], names=_NAMES)
 
 
 def _bounds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -402,31 +402,26 @@ def _with_spans(docs: DataFrame, length: int, spans_name: str) -> DataFrame:
         _tidy()
 
     def refine(data):
+        """Round 1 of a part, then the windows of what it leaves open, from the text of open runs: in one worker, as a second one would double the memory of a task."""
         again, open_ = _refined(_unblobs(data, row), ["bucket", "bucket2"])
-        return [_united(again, length), _send(open_, np.zeros(len(open_), np.int64), _RUNS)]
-
-    def windows(batches):
-        """Round 2, from the text of open runs."""
-        for b in by_bytes(batches, "data", SLICE):
-            kinds = b.column("kind").to_numpy()
-            yield b.filter(pa.array(kinds != _RUNS))
-            open_ = _unblobs(b.column("data").filter(pa.array(kinds == _RUNS)), row)
-            for start in range(0, len(open_), CHUNK // 64):
-                part = open_[start : start + CHUNK // 64]
-                width = part["text"].shape[1]
-                sums = prefix_hash(np.ascontiguousarray(part["text"]).ravel())
-                count = part["more"].astype(np.int64) + 1
-                owner = np.repeat(np.arange(len(part)), count)
-                offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                rows = np.zeros(len(owner), _window_row())
-                begin = owner * width + offset
-                rows["key"], rows["key2"] = identifiers(sums, begin, begin + length, q)
-                rows["doc"], rows["at"] = part["doc"][owner], part["at"][owner] + offset
-                order, _, head = _firsts([rows["key"], rows["key2"]], rows["doc"], rows["at"])
-                yield _runs(rows[order[~head]], length)
-                rows = rows[np.sort(order[head])]
-                yield _send(rows, (rows["key"] % np.uint64(parts)).astype(np.int64))
-        _tidy()
+        return [_united(again, length), *windows(open_)]
+
+    def windows(open_):
+        for start in range(0, len(open_), CHUNK // 64):
+            part = open_[start : start + CHUNK // 64]
+            width = part["text"].shape[1]
+            sums = prefix_hash(np.ascontiguousarray(part["text"]).ravel())
+            count = part["more"].astype(np.int64) + 1
+            owner = np.repeat(np.arange(len(part)), count)
+            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            rows = np.zeros(len(owner), _window_row())
+            begin = owner * width + offset
+            rows["key"], rows["key2"] = identifiers(sums, begin, begin + length, q)
+            rows["doc"], rows["at"] = part["doc"][owner], part["at"][owner] + offset
+            order, _, head = _firsts([rows["key"], rows["key2"]], rows["doc"], rows["at"])
+            yield _runs(rows[order[~head]], length)
+            rows = rows[np.sort(order[head])]
+            yield _send(rows, (rows["key"] % np.uint64(parts)).astype(np.int64))
 
     def last(data):
         rows = _unblobs(data, _window_row())
@@ -437,7 +432,7 @@ def _with_spans(docs: DataFrame, length: int, spans_name: str) -> DataFrame:
     rest = F.struct(*[c for c in dealt.columns if c not in (k, "text")] or [F.lit(0)])
     texts = dealt.join(opened, dealt[k] == opened["open_doc"]).select(F.col(k).alias("k"), "text", "open", rest.alias("rest"))
     second = _by_part(texts.mapInArrow(runs, _SCHEMA), parts, refine)
-    third = _by_part(second.mapInArrow(windows, _SCHEMA), parts, last)
+    third = _by_part(second, parts, last)
     spans = first.where(f"kind = {_SPANS}").select("doc", "begin", "end").unionAll(third.select("doc", "begin", "end")).groupBy(F.col("doc").alias("spans_doc")).agg(F.collect_list(F.struct("begin", "end")).alias(spans_name))
     return dealt.join(spans, dealt[k] == spans["spans_doc"], "left").select(*docs.columns, spans_name)
 
